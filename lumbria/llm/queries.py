@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, line_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_jump_shards": sharding.op4_jump_shards,
+        "op6_line_store": line_dedup.op6_line_store,
         "op10_content_sort": exact_dedup.op10_content_sort,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_store": line_dedup.SQL_OP6,
         "op10_content_sort": exact_dedup.SQL_OP10,
     }
