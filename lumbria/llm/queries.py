@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, sharding
+from . import decontaminate, exact_dedup, line_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_jump_shards": sharding.op4_jump_shards,
         "op6_line_store": line_dedup.op6_line_store,
+        "op7_phrase_index": decontaminate.op7_phrase_index,
         "op10_content_sort": exact_dedup.op10_content_sort,
     }
 
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_line_store": line_dedup.SQL_OP6,
+        "op7_phrase_index": decontaminate.SQL_OP7,
         "op10_content_sort": exact_dedup.SQL_OP10,
     }
