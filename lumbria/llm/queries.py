@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, sharding
+from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_jump_shards": sharding.op4_jump_shards,
+        "op5_simhash_pivots": simhash.op5_simhash_pivots,
         "op6_line_store": line_dedup.op6_line_store,
         "op7_phrase_index": decontaminate.op7_phrase_index,
+        "op8_bin_slack": packing.op8_bin_slack,
         "op10_content_sort": exact_dedup.op10_content_sort,
     }
 
