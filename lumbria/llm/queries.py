@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, url_filters, warc
+from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, suffix_dedup, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": warc.op1_warc_index,
         "op2_template_tree": url_filters.op2_template_tree,
+        "op3_two_stage_suffixes": suffix_dedup.op3_two_stage_suffixes,
         "op4_jump_shards": sharding.op4_jump_shards,
         "op5_simhash_pivots": simhash.op5_simhash_pivots,
         "op6_line_store": line_dedup.op6_line_store,
