@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, suffix_dedup, url_filters, warc
+from . import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_store": line_dedup.op6_line_store,
         "op7_phrase_index": decontaminate.op7_phrase_index,
         "op8_bin_slack": packing.op8_bin_slack,
+        "op9_string_kernel": toxicity.op9_string_kernel,
         "op10_content_sort": exact_dedup.op10_content_sort,
     }
 
