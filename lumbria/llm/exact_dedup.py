@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     )
 
 
+def sha_of(text: Column) -> Column:
+    """text_sha256 of groups() as a column."""
+    return F.lower(F.hex(_key(text)["sha"]))
+
+
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 

@@ -45,15 +45,15 @@ def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; a null text is empty and has fingerprint 0."""
+    """(doc_id, th, fp) for every row, th being a hash of the text; a null text is empty and has fingerprint 0."""
     small_batches(docs)
-    return pick(docs, id_col, text_col).mapInArrow(_prints(words), "doc_id long, fp long")
+    return pick(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(_prints(words), "doc_id long, th long, fp long")
 
 
 class Pivots:
@@ -171,7 +171,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id: the smallest doc_id reachable over links.
+    """(doc_id, th, fp, component_id) for every row; component_id: the smallest doc_id reachable over links.
 
     Rows with one fingerprint are one node, so groups of copies cost a row each and are never paired. Texts without
     words have fingerprint 0 and are linked like any other; a null id counts as the largest.
@@ -180,7 +180,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     nodes = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     found = connected_components(links(nodes, distance)).withColumnRenamed("component", "_c")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("_c", "node").alias("component_id"))
-    return rows.join(named, "fp").select(id_out(F.col("doc_id")).alias("doc_id"), "fp", id_out(F.col("component_id")).alias("component_id"))
+    return rows.join(named, "fp").select(id_out(F.col("doc_id")).alias("doc_id"), "th", "fp", id_out(F.col("component_id")).alias("component_id"))
 
 
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

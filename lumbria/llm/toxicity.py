@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -273,6 +274,21 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return pick(docs, id_col, text_col).mapInArrow(_scored(model), "doc_id long, score double, best_at long").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
+def score_of(model: Model, text: Column) -> Column:
+    """The score as a column, for a filter that leaves all other columns where they are."""
+
+    @F.pandas_udf("double")
+    def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            raw, out = [t.encode() for t in texts], [np.zeros(0)]
+            for i, j in blocks(np.r_[0, np.cumsum([len(r) for r in raw], dtype=np.int64)], 1 << 19):
+                low, at = padded(raw[i:j])
+                out.append(model.score(np.maximum(_best(low, at, model.weights)[1], 0).astype(np.float64)))
+            yield pd.Series(np.concatenate(out))
+
+    return score(text)
+
+
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
