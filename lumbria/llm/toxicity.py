@@ -161,7 +161,7 @@ def fit(toxic: list[bytes], clean: list[bytes], seed: int = 3) -> Model:
     """Learns from labelled texts, in rounds over their sentences.
 
     At first, contiguous subsequences are weighted by how much more often toxic texts hold them. In each round, the best
-    sentence of a toxic text is its toxic one, all sentences of clean texts are clean, of which the best of each text
+    sentence of a toxic text is its toxic one, if it stands out from nearly all clean texts' best ones, all sentences of clean texts are clean, of which the best of each text
     and a random few are taken; some words of both are misspelt, so that a gap alone says nothing; landmarks are drawn from both kinds; the machine's solution over Nyström features is
     folded into a weight per subsequence. At last a logistic curve is fitted to the texts' values.
     """
@@ -179,6 +179,9 @@ def fit(toxic: list[bytes], clean: list[bytes], seed: int = 3) -> Model:
         best = order[np.r_[True, of[order][1:] != of[order][:-1]]]
         pos = best[is_toxic[of[best]]]
         hard = best[~is_toxic[of[best]]]
+        pos = pos[top[pos] > np.quantile(top[hard], 0.98)] if len(hard) else pos
+        if not len(pos):
+            break
         rest = np.flatnonzero(~is_toxic[of])
         neg = np.union1d(hard, rng.choice(rest, min(len(rest), 4000), replace=False))
         pos_at = start[pos]
@@ -218,7 +221,7 @@ def _odds(toxic: list[bytes], clean: list[bytes]) -> np.ndarray:
         counts.append(n)
     a, b = counts
     lift = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
-    return np.where((a >= 3) & (lift > 1.5), lift * np.sqrt(a / len(toxic)), 0).astype(np.float32)
+    return np.where((a >= 3) & (lift > 2.6), lift * np.sqrt(a / len(toxic)), 0).astype(np.float32)
 
 
 def _curve(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
