@@ -58,7 +58,7 @@ class WordTokenizer:
         except KeyError:
             if len(known) > MEMORY:
                 known.clear()
-            for p in set(parts) - known.keys():
+            for p in {p for p in parts if p not in known}:
                 s = p if p.isascii() and p.isprintable() else "".join(self.letters[c] for c in p.encode())
                 known[p] = np.array([t.id for t in self.model.tokenize(s)], np.uint32).tobytes()
             return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
