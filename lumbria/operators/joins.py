@@ -55,7 +55,7 @@ def asof_nearest(targets: DataFrame, seen: DataFrame, key: list[str], at: str, s
     """For each target its nearest observation of the same key within the tolerance, by gap, then tie. Times fall into
     blocks of the tolerance's length, and targets look into the blocks beside their own."""
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    a = targets.withColumn("_b", F.explode(F.expr("array(-1L, 0L, 1L)")) + F.floor(sec(at) / tolerance_s))
+    a = targets.withColumn("_b", F.explode(F.transform(F.expr("array(-1L, 0L, 1L)"), lambda k: k + F.floor(sec(at) / tolerance_s))))
     b = seen.withColumn("_b", F.floor(sec(seen_at) / tolerance_s))
     pairs = a.join(b, [*key, "_b"]).withColumn("gap_s", F.abs(sec(seen_at) - sec(at))).where(F.col("gap_s") <= tolerance_s)
     w = Window.partitionBy(*target_key).orderBy("gap_s", *tie)

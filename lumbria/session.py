@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,3 +52,9 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no DataFrame needs any more: Spark frees them once their owners are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
