@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialised, release
 from .textcols import blocks, flat, id_out, pick, small_batches
 from .tokens import _VALUE, mixed, span_hashes
 
@@ -29,7 +30,6 @@ PART = 4 << 20
 #: An anchor with more different runs is dealt window by window.
 HOT_RUNS = 1000
 
-_SECOND = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _MULT = np.random.default_rng(6).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 
 
@@ -74,7 +74,7 @@ def runs(data: np.ndarray, off: np.ndarray, match: int = MATCH) -> tuple[np.ndar
 
 
 def _anchors(match: int):
-    names = ["doc_id", "th", "p", "c", "key", "h1", "h2"]
+    names = ["doc_id", "th", "p", "c", "key", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,7 +89,7 @@ def _anchors(match: int):
                     p, c, key = runs(d, o, match)
                     text = np.searchsorted(o, p, side="right") - 1
                     end = p + c + match - 1
-                    cols = [ids[i + text], th[i + text], p - o[text] + s, c, key.view(np.int64), span_hashes(_VALUE[d], p, end).view(np.int64), span_hashes(_SECOND[d], p, end).view(np.int64)]
+                    cols = [ids[i + text], th[i + text], p - o[text] + s, c, key.view(np.int64), span_hashes(_VALUE[d], p, end).view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n in "pc" else pa.int64()) for x, n in zip(cols, names, strict=True)], names=names)
 
     return run
@@ -107,7 +107,7 @@ def _pieces(match: int):
             data, off = flat(b.column(0))
             asked = b.column(1)
             text = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
-            p, c, key, h1, h2, hot, twice = (_field(asked, f) for f in ("p", "c", "key", "h1", "h2", "hot", "twice"))
+            p, c, key, h, hot, twice = (_field(asked, f) for f in ("p", "c", "key", "h", "hot", "twice"))
             out: list[list] = [[], [], [], [], [], []]
             size = 0
             for k in range(len(text)):
@@ -116,7 +116,7 @@ def _pieces(match: int):
                     piece = data[s : s + c[k] + match - 1] if w < 0 else data[s + w : s + w + match]
                     raw = piece.tobytes()
                     name = int(key[k]) if w < 0 else int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                    for col, v in zip(out, (name, h1[k], h2[k], max(w, 0), raw, bool(twice[k])), strict=True):
+                    for col, v in zip(out, (name, key[k], h[k], max(w, 0), raw, bool(twice[k])), strict=True):
                         col.append(v)
                     size += len(raw)
                     if size > 4 << 20:
@@ -126,7 +126,7 @@ def _pieces(match: int):
 
     def _rows(out: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "h1", "h2", "at", "raw", "twice"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["group", "key", "h", "at", "raw", "twice"])
 
     return run
 
@@ -224,28 +224,28 @@ def _judged(match: int):
                 wanted[e - match + 1 : e] = 0
             hit, rows, k = repeated(data, wanted > 0, match), [], 0
             begin = np.r_[0, end]
-            for h1, h2, at, raw, twice in held:
+            for k1, h, at, raw, twice in held:
                 m = np.r_[False, hit[begin[k] : begin[k] + len(raw) - match + 1], False]
                 d = np.diff(m.astype(np.int8))
                 s, e = np.flatnonzero(d > 0), np.flatnonzero(d < 0)
                 if len(s):
-                    rows.append((h1, h2, (s + at).tolist(), (e - s).tolist()))
+                    rows.append((k1, h, (s + at).tolist(), (e - s).tolist()))
                 k += 2 if twice else 1
             return _verdicts(rows)
 
         for b in batches:
-            for name, h1, h2, at, raw, twice in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            for name, k1, h, at, raw, twice in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if name != key and size > SORT_BYTES:
                     yield judge()
                     held, size = [], 0
                 if raw == last[1] and name == key:  # one more copy of a window: what holds for the first two holds for it
-                    yield _verdicts([(h1, h2, [at], [1])])
+                    yield _verdicts([(k1, h, [at], [1])])
                     if not last[0]:
                         held[-1] = (*held[-1][:4], True)
                         last = (True, raw)
                     continue
                 key, last = name, (twice, raw)
-                held.append((h1, h2, at, raw, twice))
+                held.append((k1, h, at, raw, twice))
                 size += len(raw) * (2 if twice else 1)
         if held:
             yield judge()
@@ -253,7 +253,7 @@ def _judged(match: int):
     def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
         cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "s", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "h", "s", "n"])
 
     return run
 
@@ -286,8 +286,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
     Every byte of a match-byte string that also starts elsewhere, in the same text or another, goes; all strings are
-    judged on the input. match is a multiple of 8 and at least 40. Equal runs are one class: two of its members are
-    sorted with the rest, and the others share their verdict, so that thousands of copies cost two. Anchors with over
+    judged on the input. match is a multiple of 8 and at least 40. Equal runs, told by the
+    anchor's hash and a second one over all their bytes, are one class: it is sorted twice with the rest, and its members
+    share the verdict, so that thousands of copies cost two. Anchors with over
     HOT_RUNS different runs are dealt by window instead, and equal windows meet one by one. Texts travel once: the
     exchange by id serves both the runs' bytes and the result. Null texts are empty; rows that repeat id and text
     count as two places; texts shorter than match stay whole; a null id counts as the largest.
@@ -296,17 +297,19 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("match: a multiple of 8, at least 40")
     small_batches(docs, 256)
     d = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    a = d.mapInArrow(_anchors(match), "doc_id long, th long, p int, c int, key long, h1 long, h2 long").repartition("key")
-    many = a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    some = a.join(many, "key", "left_semi")
+    a = d.mapInArrow(_anchors(match), "doc_id long, th long, p int, c int, key long, h long")
+    many = materialised(a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "anchors")
+    release(docs.sparkSession)
+    some = materialised(a.join(many, "key", "left_semi"), "runs")
+    release(docs.sparkSession)
     place = F.struct("doc_id", "th", "p", "c")
-    kinds = some.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
+    kinds = some.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
     per = kinds.groupBy("key").agg((F.count(F.lit(1)) > HOT_RUNS).alias("hot"))
-    ask = kinds.join(per, "key").select("at.doc_id", "at.th", F.struct("at.p", "at.c", "key", "h1", "h2", "hot", (F.col("n") > 1).alias("twice")).alias("run"))
+    ask = kinds.join(per, "key").select("at.doc_id", "at.th", F.struct("at.p", "at.c", "key", "h", "hot", (F.col("n") > 1).alias("twice")).alias("run"))
     ask = ask.groupBy("doc_id", "th").agg(F.collect_list("run").alias("asked"))
-    raw = d.join(ask.hint("shuffle_hash"), ["doc_id", "th"]).select("text", "asked").mapInArrow(_pieces(match), "key long, h1 long, h2 long, at int, raw binary, twice boolean")
-    verdict = raw.repartition("key").sortWithinPartitions("key", "raw").mapInArrow(_judged(match), "h1 long, h2 long, s array<int>, n array<int>")
-    spans = some.join(verdict, ["h1", "h2"]).select("doc_id", "th", F.transform(F.arrays_zip("s", "n"), lambda x: F.struct((x["s"] + F.col("p")).alias("s"), x["n"].alias("n"))).alias("r"))
+    raw = d.join(ask.hint("shuffle_hash"), ["doc_id", "th"]).select("text", "asked").mapInArrow(_pieces(match), "group long, key long, h long, at int, raw binary, twice boolean")
+    verdict = raw.repartition("group").sortWithinPartitions("group", "raw").mapInArrow(_judged(match), "key long, h long, s array<int>, n array<int>")
+    spans = some.join(verdict, ["key", "h"]).select("doc_id", "th", F.transform(F.arrays_zip("s", "n"), lambda x: F.struct((x["s"] + F.col("p")).alias("s"), x["n"].alias("n"))).alias("r"))
     spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("r"))
     out = d.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "r").mapInArrow(_cut(match), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", id_out(F.col("doc_id")))
