@@ -14,8 +14,16 @@ def T(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 c, w = F.col, Window.partitionBy
-_n = F.count(F.lit(1)).alias("n")
-_rev = (c("l_extendedprice") * (1 - c("l_discount"))).cast("decimal(18,4)")
+
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
+
+def _rev():
+    return (c("l_extendedprice") * (1 - c("l_discount"))).cast("decimal(18,4)")
+
+
 _REV = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 
 
@@ -87,17 +95,17 @@ QUERIES = {
     "J16_first_available": (_best_source, "WITH p AS (SELECT l_orderkey, l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_extendedprice DESC) AS r FROM lineitem WHERE l_returnflag IN ('R', 'A', 'N')) SELECT l_orderkey, l_returnflag AS flag, l_extendedprice AS price FROM p WHERE r = 1"),
     "J21_rule_precedence": (_rules, "WITH r1 AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS m FROM part GROUP BY ALL HAVING m % 3 = 0), r2 AS (SELECT p_brand, p_type, min(p_partkey) AS m FROM part GROUP BY ALL HAVING m % 3 = 1), r3 AS (SELECT p_type, min(p_partkey) AS m FROM part GROUP BY ALL HAVING m % 3 = 2), r4 AS (SELECT p_size, min(p_partkey) AS m FROM part GROUP BY ALL HAVING m % 3 = 0) SELECT p_partkey, greatest(coalesce(r1.m, r2.m, r3.m, r4.m, -1), CASE WHEN p.p_size > 40 THEN 25 ELSE 0 END) AS value FROM part p LEFT JOIN r1 USING (p_brand, p_type, p_size) LEFT JOIN r2 USING (p_brand, p_type) LEFT JOIN r3 USING (p_type) LEFT JOIN r4 USING (p_size)"),
     "J22_label_rules": (_labels_by_rule, "WITH x AS (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w FROM part), g AS (SELECT DISTINCT p_partkey, p_name, unnest(CASE WHEN w LIKE 's%' THEN ['s', 'any'] WHEN w LIKE '%ing' THEN ['ring', 'any'] ELSE ['any'] END) AS l FROM x) SELECT p_partkey, coalesce(string_agg(l, '|' ORDER BY l) FILTER (NOT (p_name LIKE '%small%' AND l = 'any')), '') AS labels FROM g GROUP BY p_partkey"),
-    "A14_two_level_mean": (lambda s, d: T(s, d, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("month")).agg(_n).groupBy("month").agg(F.avg("n").alias("mean")), "SELECT month, avg(n) AS mean FROM (SELECT year(o_orderdate) AS y, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY month"),
-    "A15_weighted_mean": (lambda s, d: T(s, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(_n, F.sum(c("l_quantity").cast("long")).alias("q")).withColumn("share", c("n") / F.sum("n").over(w("l_returnflag"))).groupBy("l_returnflag").agg(F.round(F.sum(c("share") * c("q") / c("n")), 6).alias("mean")), "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1"),
+    "A14_two_level_mean": (lambda s, d: T(s, d, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("month")).agg(_n()).groupBy("month").agg(F.avg("n").alias("mean")), "SELECT month, avg(n) AS mean FROM (SELECT year(o_orderdate) AS y, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY month"),
+    "A15_weighted_mean": (lambda s, d: T(s, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(_n(), F.sum(c("l_quantity").cast("long")).alias("q")).withColumn("share", c("n") / F.sum("n").over(w("l_returnflag"))).groupBy("l_returnflag").agg(F.round(F.sum(c("share") * c("q") / c("n")), 6).alias("mean")), "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1"),
     "A16_mode": (lambda s, d: t.mode_of(T(s, d, "customer"), ["c_nationkey"], "c_mktsegment"), "WITH k AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS r FROM k) WHERE r = 1"),
     "A17_share_in_set": (lambda s, d: T(s, d, "orders").groupBy("o_custkey").agg(F.avg(c("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")).alias("share"), (~F.bool_or(c("o_orderstatus") != "F")).alias("all_f")), "SELECT o_custkey, avg(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS share, NOT bool_or(o_orderstatus <> 'F') AS all_f FROM orders GROUP BY 1"),
-    "A18_group_profile": (lambda s, d: T(s, d, "customer").groupBy("c_nationkey").agg(_n, F.countDistinct("c_mktsegment").alias("segments"), F.round(F.max("c_acctbal") - F.min("c_acctbal"), 4).alias("spread"), F.round(F.avg("c_acctbal"), 4).alias("mean")), "SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(max(c_acctbal) - min(c_acctbal), 4) AS spread, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1"),
+    "A18_group_profile": (lambda s, d: T(s, d, "customer").groupBy("c_nationkey").agg(_n(), F.countDistinct("c_mktsegment").alias("segments"), F.round(F.max("c_acctbal") - F.min("c_acctbal"), 4).alias("spread"), F.round(F.avg("c_acctbal"), 4).alias("mean")), "SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(max(c_acctbal) - min(c_acctbal), 4) AS spread, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1"),
     "A19_quality_profile": (lambda s, d: t.profile(T(s, d, "part").withColumn("p_name", F.expr("IF(p_partkey % 9 = 0, concat(' ', p_name), p_name)")).withColumn("p_size", F.expr("IF(p_partkey % 4 = 0, NULL, p_size)")).select("p_name", "p_size", "p_brand"), {"p_size": (5, 30)}), "WITH p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS p_size, p_brand FROM part) SELECT 'p_name' AS \"column\", count(*) AS n, count(*) - count(p_name) AS nulls, 100.0 * (count(*) - count(p_name)) / count(*) AS null_percent, count(DISTINCT p_name) AS \"distinct\", count(*) FILTER (p_name <> trim(p_name)) AS blank, NULL::DOUBLE AS in_range FROM p UNION ALL SELECT 'p_size', count(*), count(*) - count(p_size), 100.0 * (count(*) - count(p_size)) / count(*), count(DISTINCT p_size), 0, avg(CASE WHEN p_size BETWEEN 5 AND 30 THEN 1.0 WHEN p_size IS NOT NULL THEN 0.0 END) FROM p UNION ALL SELECT 'p_brand', count(*), count(*) - count(p_brand), 100.0 * (count(*) - count(p_brand)) / count(*), count(DISTINCT p_brand), count(*) FILTER (p_brand <> trim(p_brand)), NULL FROM p"),
     "A20_missing_by_group": (lambda s, d: t.missing_by(T(s, d, "part").withColumns({"a": F.expr("IF(p_partkey % 4 = 0, NULL, p_size)"), "b": F.expr("IF(p_partkey % 6 = 0, NULL, p_name)")}), "p_brand", ["a", "b"]), "WITH p AS (SELECT p_brand, count(*) AS total, count(*) FILTER (p_partkey % 4 = 0) AS a, count(*) FILTER (p_partkey % 6 = 0) AS b FROM part GROUP BY 1) SELECT p_brand, total, 'a' AS \"column\", a AS missing, 100.0 * a / total AS percent FROM p UNION ALL SELECT p_brand, total, 'b', b, 100.0 * b / total FROM p"),
     "A21_pivot": (lambda s, d: T(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1"),
     "A22_value_counts": (lambda s, d: t.value_counts(T(s, d, "orders"), ["o_orderstatus", "o_orderpriority"]), "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2"),
-    "A24_difference_summary": (lambda s, d: T(s, d, "lineitem").withColumn("x", F.abs(c("l_quantity") - 25)).groupBy("l_returnflag").agg(_n, F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.9)).alias("p90"), F.max("x").alias("most"), F.count_if(c("x") > 20).alias("over20")), "SELECT l_returnflag, count(*) AS n, quantile_cont(abs(l_quantity - 25), 0.5) AS p50, quantile_cont(abs(l_quantity - 25), 0.9) AS p90, max(abs(l_quantity - 25)) AS most, count(*) FILTER (abs(l_quantity - 25) > 20) AS over20 FROM lineitem GROUP BY 1"),
-    "A25_error_bands": (lambda s, d: T(s, d, "lineitem").select(F.when(c("l_extendedprice") < 20000, "a").when(c("l_extendedprice") < 60000, "b").otherwise("c").alias("band"), (F.abs(c("l_quantity") - 25) / 25).alias("e"), (c("l_quantity") - 25).alias("bias")).groupBy("band").agg(_n, F.round(F.avg("e"), 6).alias("mape"), F.percentile("e", F.lit(0.5)).alias("p50"), F.avg((c("e") <= 0.25).cast("int")).alias("within"), F.round(F.avg("bias"), 6).alias("bias")), "SELECT CASE WHEN l_extendedprice < 20000 THEN 'a' WHEN l_extendedprice < 60000 THEN 'b' ELSE 'c' END AS band, count(*) AS n, round(avg(abs(l_quantity - 25) / 25), 6) AS mape, quantile_cont(abs(l_quantity - 25) / 25, 0.5) AS p50, avg(CASE WHEN abs(l_quantity - 25) / 25 <= 0.25 THEN 1 ELSE 0 END) AS within, round(avg(l_quantity - 25), 6) AS bias FROM lineitem GROUP BY 1"),
+    "A24_difference_summary": (lambda s, d: T(s, d, "lineitem").withColumn("x", F.abs(c("l_quantity") - 25)).groupBy("l_returnflag").agg(_n(), F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.9)).alias("p90"), F.max("x").alias("most"), F.count_if(c("x") > 20).alias("over20")), "SELECT l_returnflag, count(*) AS n, quantile_cont(abs(l_quantity - 25), 0.5) AS p50, quantile_cont(abs(l_quantity - 25), 0.9) AS p90, max(abs(l_quantity - 25)) AS most, count(*) FILTER (abs(l_quantity - 25) > 20) AS over20 FROM lineitem GROUP BY 1"),
+    "A25_error_bands": (lambda s, d: T(s, d, "lineitem").select(F.when(c("l_extendedprice") < 20000, "a").when(c("l_extendedprice") < 60000, "b").otherwise("c").alias("band"), (F.abs(c("l_quantity") - 25) / 25).alias("e"), (c("l_quantity") - 25).alias("bias")).groupBy("band").agg(_n(), F.round(F.avg("e"), 6).alias("mape"), F.percentile("e", F.lit(0.5)).alias("p50"), F.avg((c("e") <= 0.25).cast("int")).alias("within"), F.round(F.avg("bias"), 6).alias("bias")), "SELECT CASE WHEN l_extendedprice < 20000 THEN 'a' WHEN l_extendedprice < 60000 THEN 'b' ELSE 'c' END AS band, count(*) AS n, round(avg(abs(l_quantity - 25) / 25), 6) AS mape, quantile_cont(abs(l_quantity - 25) / 25, 0.5) AS p50, avg(CASE WHEN abs(l_quantity - 25) / 25 <= 0.25 THEN 1 ELSE 0 END) AS within, round(avg(l_quantity - 25), 6) AS bias FROM lineitem GROUP BY 1"),
     "A29_partition_agreement": (lambda s, d: t.partition_agreement(T(s, d, "customer"), "c_nationkey", "c_mktsegment").withColumn("ari", F.round("ari", 9)), "WITH k AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*)::DOUBLE AS n FROM customer GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS p, sum(n) AS m FROM k), x AS (SELECT sum(n * (n - 1) / 2) AS pa FROM (SELECT sum(n) AS n FROM k GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS pb FROM (SELECT sum(n) AS n FROM k GROUP BY b)) SELECT p AS \"both\", pa - p AS only_a, pb - p AS only_b, round((p - pa * pb / (m * (m - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (m * (m - 1) / 2)), 9) AS ari FROM t, x, y"),
     "W1_rank": (lambda s, d: T(s, d, "part").select("p_partkey", F.rank().over(w("p_brand").orderBy(c("p_size").desc())).alias("place")), "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS INT) AS place FROM part"),
     "W3_group_total": (lambda s, d: T(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.sum(c("l_quantity").cast("long")).over(w("l_orderkey")).alias("total")), "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS total FROM lineitem"),
@@ -115,11 +123,11 @@ QUERIES = {
     "U2_distinct_first": (lambda s, d: T(s, d, "part").select("p_partkey", F.array_join(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")), " ").alias("words")), "WITH x AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS l FROM part), y AS (SELECT p_partkey, unnest(l) AS v, unnest(range(len(l))) AS i FROM x), z AS (SELECT p_partkey, v, min(i) AS i FROM y GROUP BY ALL) SELECT p_partkey, string_agg(v, ' ' ORDER BY i) AS words FROM z GROUP BY 1"),
     "U3_set_operations": (lambda s, d: (lambda a, b: a.intersect(b).withColumn("op", F.lit("both")).unionByName(a.exceptAll(b).distinct().withColumn("op", F.lit("left"))).unionByName(b.subtract(a).withColumn("op", F.lit("right"))))(T(s, d, "customer").where("c_acctbal > 5000").select(c("c_nationkey").alias("k")), T(s, d, "supplier").where("s_acctbal > 5000").select(c("s_nationkey").alias("k"))).where("op <> 'left'").unionByName(T(s, d, "customer").where("c_acctbal > 5000").select(c("c_nationkey").alias("k")).subtract(T(s, d, "supplier").where("s_acctbal > 5000").select(c("s_nationkey").alias("k"))).withColumn("op", F.lit("left"))), "WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) SELECT k, 'both' AS op FROM (FROM a INTERSECT FROM b) UNION ALL SELECT k, 'left' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT k, 'right' FROM (FROM b EXCEPT FROM a)"),
     "Q1_snapshot_diff": (lambda s, d: t.snapshot_diff(*_old_new(s, d), ["p_partkey"]), f"WITH {_ON}, x AS (SELECT o.p_partkey IS NOT NULL AS oo, m.p_partkey IS NOT NULL AS nn, o.p_brand IS DISTINCT FROM m.p_brand AS d1, o.p_size IS DISTINCT FROM m.p_size AS d2, o.price IS DISTINCT FROM m.price AS d3 FROM o FULL JOIN m ON o.p_partkey = m.p_partkey) SELECT '+' AS \"column\", count(*) FILTER (NOT oo) AS n FROM x UNION ALL SELECT '-', count(*) FILTER (NOT nn) FROM x UNION ALL SELECT '*', count(*) FILTER (oo AND nn AND (d1 OR d2 OR d3)) FROM x UNION ALL SELECT 'p_brand', count(*) FILTER (oo AND nn AND d1) FROM x UNION ALL SELECT 'p_size', count(*) FILTER (oo AND nn AND d2) FROM x UNION ALL SELECT 'price', count(*) FILTER (oo AND nn AND d3) FROM x"),
-    "Q2_work_list": (lambda s, d: T(s, d, "customer").join(T(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"), _n), c("c_custkey") == c("o_custkey"), "left").select("c_custkey", F.when(c("n").isNull(), "new").when(c("n") < 5, "few").when(c("last") >= F.expr("TIMESTAMP_NTZ '2000-06-01'"), "late").otherwise("rest").alias("why")), "SELECT c_custkey, CASE WHEN n IS NULL THEN 'new' WHEN n < 5 THEN 'few' WHEN last >= TIMESTAMP '2000-06-01' THEN 'late' ELSE 'rest' END AS why FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey"),
-    "Q6_zone_points": (lambda s, d: T(s, d, "supplier").groupBy("s_nationkey").agg(F.round(F.avg("s_acctbal"), 4).alias("mean"), F.percentile("s_acctbal", F.lit(0.5)).alias("p50"), _n).orderBy(F.when(c("n") > 3, c("mean")).desc_nulls_last(), "s_nationkey"), "SELECT s_nationkey, round(avg(s_acctbal), 4) AS mean, quantile_cont(s_acctbal, 0.5) AS p50, count(*) AS n FROM supplier GROUP BY 1"),
+    "Q2_work_list": (lambda s, d: T(s, d, "customer").join(T(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"), _n()), c("c_custkey") == c("o_custkey"), "left").select("c_custkey", F.when(c("n").isNull(), "new").when(c("n") < 5, "few").when(c("last") >= F.expr("TIMESTAMP_NTZ '2000-06-01'"), "late").otherwise("rest").alias("why")), "SELECT c_custkey, CASE WHEN n IS NULL THEN 'new' WHEN n < 5 THEN 'few' WHEN last >= TIMESTAMP '2000-06-01' THEN 'late' ELSE 'rest' END AS why FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey"),
+    "Q6_zone_points": (lambda s, d: T(s, d, "supplier").groupBy("s_nationkey").agg(F.round(F.avg("s_acctbal"), 4).alias("mean"), F.percentile("s_acctbal", F.lit(0.5)).alias("p50"), _n()).orderBy(F.when(c("n") > 3, c("mean")).desc_nulls_last(), "s_nationkey"), "SELECT s_nationkey, round(avg(s_acctbal), 4) AS mean, quantile_cont(s_acctbal, 0.5) AS p50, count(*) AS n FROM supplier GROUP BY 1"),
     "S5_pruned_parquet": (lambda s, d: T(s, d, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2000-01-01' AND l_quantity > 45").select("l_orderkey", "l_quantity"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_quantity > 45"),
     "Q7_row_groups": (lambda s, d: T(s, d, "orders").where("o_orderkey BETWEEN 1000 AND 1200").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 1000 AND 1200"),
     "S10_range_scan": (lambda s, d: T(s, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-07'").orderBy("ts", "event_id").select("ts", "event_id", "event_type"), "SELECT ts, event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07'"),
     "S11_newest": (lambda s, d: T(s, d, "conversations").where("role = 'user'").orderBy(c("conv_id").desc(), c("turn").desc()).limit(15).select("conv_id", "turn", F.length("text").alias("chars")), "SELECT conv_id, turn, CAST(length(text) AS INT) AS chars FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 15"),
-    "revenue_by_nation": (lambda s, d: T(s, d, "lineitem").join(T(s, d, "orders"), c("l_orderkey") == c("o_orderkey")).join(T(s, d, "customer"), c("o_custkey") == c("c_custkey")).join(F.broadcast(T(s, d, "nation")), c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.sum(_rev).cast("double").alias("revenue"), _n), f"SELECT n_name, CAST(sum({_REV}) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "revenue_by_nation": (lambda s, d: T(s, d, "lineitem").join(T(s, d, "orders"), c("l_orderkey") == c("o_orderkey")).join(T(s, d, "customer"), c("o_custkey") == c("c_custkey")).join(F.broadcast(T(s, d, "nation")), c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.sum(_rev()).cast("double").alias("revenue"), _n()), f"SELECT n_name, CAST(sum({_REV}) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
 }
