@@ -188,7 +188,7 @@ def cost_bands(trips: DataFrame, ranges: dict[str, tuple[float, float]], amounts
     @F.pandas_udf("p20 double, p50 double, p80 double")
     def bands(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in it:
-            k = np.stack([c.to_numpy(float) for c in cols], axis=1)
+            k = np.stack([c.to_numpy(float) for c in (cols if isinstance(cols, tuple) else (cols,))], axis=1)
             out = [np.percentile(k[i : i + 256] @ base, [20, 50, 80], axis=1).T for i in range(0, len(k), 256)]
             yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["p20", "p50", "p80"])
 
