@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer QUERIES: name -> (function, SQL or None).
-MODULES: list[str] = ["lumbria.plans.usage", "lumbria.plans.places", "lumbria.plans.relational", "lumbria.plans.scalars", "lumbria.plans.trips"]
+MODULES: list[str] = ["lumbria.plans.usage", "lumbria.plans.places", "lumbria.plans.relational", "lumbria.plans.scalars", "lumbria.plans.trips", "lumbria.plans.more"]
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
