@@ -135,3 +135,22 @@ def test_tables(spark):
     b = spark.createDataFrame([(2, "y"), (3, "z"), (4, "w")], "k int, v string")
     assert {r["column"]: r.n for r in tables.snapshot_diff(a, b, ["k"]).collect()} == {"+": 1, "-": 1, "*": 1, "v": 1}
     assert one(spark, scoring.greedy_bound(F.expr("array(named_struct('value', 5.0D, 'cost', 3.0D), named_struct('value', 4.0D, 'cost', 9.0D), named_struct('value', 1.0D, 'cost', 2.0D))"), F.lit(5.0))) == 6.0
+
+
+def test_file_sources(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from lumbria.sources import files
+
+    want = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
+    (tmp_path / "a.csv").write_text("\ufeffv;k\n\u00f1u;1\nb;2\n", encoding="utf-8")
+    assert sorted(map(tuple, files.read_delimited(spark, str(tmp_path / "a.csv"), want, ["k"]).collect())) == [(1, "\u00f1u"), (2, "b")]
+    (tmp_path / "b.csv").write_text("v;k\nb;2\nc;2\n")
+    with pytest.raises(files.DuplicateKeys):
+        files.read_delimited(spark, str(tmp_path / "b.csv"), want, ["k"])
+    (tmp_path / "c.csv").write_text("v\nb\n")
+    with pytest.raises(files.MissingColumns):
+        files.read_delimited(spark, str(tmp_path / "c.csv"), want)
+    d = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    a, b = (files.manifest({"d": q}).first()["sha256"] for q in (d, d.orderBy(F.col("k").desc())))
+    assert a == b != files.manifest({"d": d.limit(1)}).first()["sha256"]
