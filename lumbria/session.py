@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,11 @@ def release(spark: SparkSession) -> None:
     """Let go of shuffle files that no DataFrame needs any more: Spark frees them once their owners are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver did, whatever folder the session was started in."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+    return spark
