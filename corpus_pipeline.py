@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumbria.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from lumbria.llm.textcols import id_in
-from lumbria.session import materialised
+from lumbria.session import materialised, ready
 
 #: A document with this score or more is rejected.
 TOXIC = 0.3
@@ -32,6 +32,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores under TOXIC, in one pass; the machine is fitted on a bounded sample of labelled rows."""
+    ready(spark)
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score_of(model, _text(docs)) < TOXIC)
 
@@ -39,6 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal once A-Z are lower-cased, the row with the smallest id."""
     rows = _named(docs)
+    ready(spark)
     best = exact_dedup.groups(docs, keep="min").where("kept").select(id_in(F.col("doc_id")).alias(_ID), F.col("text_sha256").alias("__sha"))
     rows = rows.withColumn("__sha", exact_dedup.sha_of(_text(docs)))
     return rows.join(best, [_ID, "__sha"], "left_semi").dropDuplicates([_ID, "__sha"]).select(*docs.columns)
@@ -46,6 +48,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that SimHash links connect, the row with the smallest id."""
+    ready(spark)
     found = simhash.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = found.groupBy(id_in(F.col("doc_id")).alias(_ID)).agg(F.min("th").alias(_TH))
     return _named(docs).join(best, [_ID, _TH], "left_semi").dropDuplicates([_ID, _TH]).select(*docs.columns)
@@ -53,6 +56,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose words benchmark windows cover to less than a twentieth."""
+    ready(spark)
     rows = _named(docs).withColumn("__key", F.xxhash64(_ID, _TH))
     index = decontaminate.build_index(rows, id_col="__key")
     found = decontaminate.matches(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -61,6 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return packing.pack(docs)
 
 
