@@ -47,10 +47,11 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that SimHash links connect, the row with the smallest id."""
+    """Of each class of documents that SimHash links connect, the row with the smallest id, then hash."""
     ready(spark)
-    found = simhash.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = found.groupBy(id_in(F.col("doc_id")).alias(_ID)).agg(F.min("th").alias(_TH))
+    rows = materialised(simhash.fingerprints(docs), "prints")
+    found = rows.join(simhash.components(rows.select("fp").distinct()), "fp", "left")
+    best = found.groupBy(F.coalesce("component", "fp")).agg(F.min(F.struct("doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias(_ID), F.col("b.th").alias(_TH))
     return _named(docs).join(best, [_ID, _TH], "left_semi").dropDuplicates([_ID, _TH]).select(*docs.columns)
 
 

@@ -170,16 +170,23 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(first), "src long, dst long")
 
 
+def components(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """(fp, component) for the fingerprints of nodes that are linked to others; a component is named by its smallest."""
+    return connected_components(links(nodes.select("fp", F.col("fp").alias("node")), distance)).withColumnRenamed("node", "fp")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, th, fp, component_id) for every row; component_id: the smallest doc_id reachable over links.
 
-    Rows with one fingerprint are one node, so groups of copies cost a row each and are never paired. Texts without
-    words have fingerprint 0 and are linked like any other; a null id counts as the largest.
+    Fingerprints are the nodes, whatever ids their rows have: groups of copies cost a row each and are never paired, and
+    unlike texts under one id, or under none, stay apart. Texts without words have fingerprint 0 and are linked like any
+    other; a null id counts as the largest.
     """
     rows = materialised(fingerprints(docs, id_col, text_col, words), "prints")
-    nodes = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = connected_components(links(nodes, distance)).withColumnRenamed("component", "_c")
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("_c", "node").alias("component_id"))
+    nodes = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    linked = materialised(nodes.join(components(nodes, distance), "fp"), "linked")
+    best = linked.groupBy("component").agg(F.min("low").alias("best"))
+    named = nodes.join(linked.join(best, "component").select("fp", "best"), "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"))
     return rows.join(named, "fp").select(id_out(F.col("doc_id")).alias("doc_id"), "th", "fp", id_out(F.col("component_id")).alias("component_id"))
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from lumbria.llm import exact_dedup, line_dedup, simhash, suffix_dedup
 
-from .cases import ROWS, docs, empty, ids
+from .cases import ROWS, docs, empty, ids, prose
 
 LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BIG = 2**63 - 1
@@ -134,6 +134,16 @@ def test_simhash_classes(spark):
     assert simhash.classes(empty(spark)).count() == 0
 
 
+def test_simhash_keeps_unlike_texts_of_one_id_apart(spark):
+    far = lambda k: (fingerprint(prose(900, k).encode()) ^ fingerprint((prose(900, k) + " tail").encode())).bit_count()
+    k = next(k for k in range(500) if 1 <= far(k) <= 2)
+    rows = [(7, prose(60, 900)), (7, prose(900, k)), (3, prose(900, k) + " tail"), (None, prose(60, 901)), (None, prose(60, 902))]
+    nodes = [(i, fingerprint(t)) for i, t in raw(rows)]
+    want = components(nodes, 2)
+    got = simhash.classes(docs(spark, rows)).collect()
+    assert {(BIG if r.doc_id is None else r.doc_id, r.fp & (2**64 - 1)): BIG if r.component_id is None else r.component_id for r in got} == want
+
+
 @pytest.mark.parametrize("large", [512, 3])
 def test_pivot_links_lose_none(spark, large, monkeypatch):
     rng = np.random.default_rng(3)

@@ -46,3 +46,13 @@ def test_stages_stand_odd_rows(spark, small):
         out = stage(spark, d, small)
         assert out.columns == d.columns and 0 < out.count() <= d.count()
         assert stage(spark, d.limit(0), small).count() == 0
+
+
+def test_near_dedup_judges_rows_on_their_own(spark, small):
+    from .cases import docs, prose
+
+    rows = [(None, prose(60, 100 + k)) for k in range(4)] + [(7, prose(60, 200 + k)) for k in range(3)]
+    again = [(9, prose(60, 200).upper()), (None, prose(60, 100).upper()), (5, prose(60, 101).upper())]
+    out = corpus_pipeline.drop_near(spark, docs(spark, rows + again), small)
+    got = collections.Counter((i, t.lower()) for i, t in out.select("doc_id", "text").collect())
+    assert got == collections.Counter([rows[0], (5, rows[1][1]), *rows[2:]])
