@@ -9,7 +9,7 @@ import verify
 from lumbria.functions import dates, scoring, text
 from lumbria.operators import evaluation, joins, network, tables, trips, usage
 from lumbria.operators.components import connected_components
-from lumbria.plans import usage as plan_usage
+from lumbria.plans import trips as plan_trips, usage as plan_usage
 from lumbria.streaming import log
 
 CORE = sorted(n for n in entry.oracle_sql() if not re.match(r"op\d+_|pipeline", n))
@@ -154,3 +154,13 @@ def test_file_sources(spark, tmp_path):
     d = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
     a, b = (files.manifest({"d": q}).first()["sha256"] for q in (d, d.orderBy(F.col("k").desc())))
     assert a == b != files.manifest({"d": d.limit(1)}).first()["sha256"]
+
+
+def test_trips_and_ways_cover_whole_tables(spark):
+    d = "/root/testdata/sf0.01"
+    customers, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "lineitem"))
+    stops = plan_trips._stops(spark, d)
+    assert stops.select("stop").distinct().count() == customers.count()
+    assert stops.groupBy("trip").count().agg(F.max("count")).first()[0] <= 10
+    assert plan_trips._ways(spark, d).select("way").distinct().count() == lines.select("l_orderkey").distinct().count()
+    assert plan_trips.QUERIES["G16_exact_day"][0](spark, d).count() == stops.select("trip").distinct().count()
