@@ -86,6 +86,25 @@ class Pivots:
         sig = [F.xxhash64(*(to(m) - base for m in b)) for b in self.variants]
         return F.array(*(F.xxhash64(F.lit(n), *(sig[b] for b in c)) for n, c in enumerate(combinations(range(self.blocks), SAME))))
 
+    def key_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fp, node) to (fp, node, key), as keys() deals them but for the hash; for distances with many keys."""
+        combos = list(combinations(range(self.blocks), SAME))
+        with np.errstate(over="ignore"):
+            for b in batches:
+                fp = b.column(0).to_numpy()
+                table = np.bitwise_count(fp.view(np.uint64)[:, None] ^ self.all).astype(np.int8)
+                sig = np.ascontiguousarray(table[:, 1:] - table[:, :1]).view(np.uint64)
+                out = np.empty((len(fp), len(combos)), np.uint64)
+                for n, c in enumerate(combos):
+                    h = np.full(len(fp), n, np.uint64)
+                    for k in c:
+                        h = (h ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                        h ^= h >> np.uint64(32)
+                    out[:, n] = h
+                wide = lambda x: pa.array(np.repeat(x, len(combos)))
+                yield pa.RecordBatch.from_arrays([wide(fp), wide(b.column(1).to_numpy()), pa.array(out.ravel().view(np.int64))], names=["fp", "node", "key"])
+
     def linked(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs within the distance: coordinate 0 sorted and windowed, then the maximum over all others, then bits."""
         table = np.bitwise_count(fp[:, None] ^ self.all).astype(np.int8)
@@ -162,10 +181,19 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     bits, so no bucket grows with the input beyond that.
     """
     first, second = Pivots(distance, 1), Pivots(distance, 2)
-    rows = materialised(prints.select("fp", "node", F.explode(first.keys(F.col("fp"))).alias("key")), "keys")
+    if distance > 2:
+        keyed = prints.select("fp", "node").mapInArrow(first.key_rows, "fp long, node long, key long")
+    else:
+        keyed = prints.select("fp", "node", F.explode(first.keys(F.col("fp"))).alias("key"))
+    rows = materialised(keyed, "keys")
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(many, "key")
-    again = rows.where(F.col("n") > LARGE).select("fp", "node", "key", F.explode(second.keys(F.col("fp"))).alias("k2")).select(F.xxhash64("key", "k2").alias("key"), "fp", "node")
+    again = rows.where(F.col("n") > LARGE)
+    if distance > 2:
+        dealt = again.select("fp", "node").distinct().mapInArrow(second.key_rows, "fp long, node long, key long").select(F.col("fp"), F.col("key").alias("k2"))
+        again = again.join(dealt, "fp").select(F.xxhash64("key", "k2").alias("key"), "fp", "node")
+    else:
+        again = again.select("fp", "node", "key", F.explode(second.keys(F.col("fp"))).alias("k2")).select(F.xxhash64("key", "k2").alias("key"), "fp", "node")
     rows = rows.where(F.col("n") <= LARGE).select("key", "fp", "node").unionByName(again)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(first), "src long, dst long")
 
@@ -190,6 +218,76 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return rows.join(named, "fp").select(id_out(F.col("doc_id")).alias("doc_id"), "th", "fp", id_out(F.col("component_id")).alias("component_id"))
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(3).cast(pa.binary()).to_pylist():
+                p = t.translate(ASCII_LOWER).split()
+                n = max(1, len(p) - words + 1) if p else 0
+                sets.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(p[i : i + words]), SEED) for i in range(n)), np.uint64, n)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], names=["component", "doc_id", "th", "s"])
+
+    return run
+
+
+def alike(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sets of shingle hashes have this Jaccard similarity; two empty sets have."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def _like_first(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(x, y, least) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(5)), pa.array(ok, pa.bool_())], names=["component", "doc_id", "th", "s", "first", "ok"])
+
+    return run
+
+
+def _like_rest(least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst = [], []
+        others = list(zip(right["th"].to_pylist(), right["s"].to_pylist(), strict=True))
+        for th, s in zip(left["th"].to_pylist(), left["s"].to_pylist(), strict=True):
+            for o, so in others:
+                if o != th and alike(s, so, least):
+                    src.append(th)
+                    dst.append(o)
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def verified(docs: DataFrame, found: DataFrame, words: int = 5, least: float = 0.8, block: int = 1 << 20) -> DataFrame:
+    """(th, class) of the texts that Jaccard pairs connect within the classes of found (doc_id, th, component).
+
+    Texts like the first of their class need no look at one another. All others are compared with the whole class, in
+    blocks of so many bytes against blocks.
+    """
+    small_batches(docs)
+    members = found.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id"))
+    many = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("f")).where("n > 1")
+    texts = pick(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    rows = texts.join(members.join(many.select("component"), "component"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    sets = materialised(rows.select("component", "doc_id", "th", "text").mapInArrow(_shingles(words), "component long, doc_id long, th long, s binary"), "shingles")
+    first = sets.join(many.select("component", "f.*"), ["component", "doc_id", "th"]).select("component", F.col("th").alias("first"), F.col("s").alias("fs"))
+    kind = "component long, doc_id long, th long, s binary, first long, ok boolean"
+    seen = materialised(sets.join(first, "component").select("component", "doc_id", "th", "s", "first", "fs").mapInArrow(_like_first(least), kind), "seen")
+    parts = lambda d: F.ceil(F.sum(F.length("s") + 64) / block).cast("int").alias(d)
+    left = seen.where("not ok")
+    size = left.groupBy("component").agg(parts("a")).join(seen.groupBy("component").agg(parts("b")), "component")
+    deal = lambda d, n, other: d.join(size, "component").select(*(F.col(x).alias(x) for x in ("component", "th", "s")), F.pmod("th", n).cast("int").alias(f"_{n}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}"))
+    key = ["component", "_a", "_b"]
+    rest = deal(left, "a", "b").groupBy(*key).cogroup(deal(seen, "b", "a").groupBy(*key)).applyInArrow(_like_rest(least), "src long, dst long")
+    edges = seen.where("ok").select(F.col("th").alias("src"), F.col("first").alias("dst")).unionByName(rest)
+    return connected_components(materialised(edges, "alike")).select(F.col("node").alias("th"), F.col("component").alias("class"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

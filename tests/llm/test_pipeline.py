@@ -56,3 +56,19 @@ def test_near_dedup_judges_rows_on_their_own(spark, small):
     out = corpus_pipeline.drop_near(spark, docs(spark, rows + again), small)
     got = collections.Counter((i, t.lower()) for i, t in out.select("doc_id", "text").collect())
     assert got == collections.Counter([rows[0], (5, rows[1][1]), *rows[2:]])
+
+
+def test_near_dedup_takes_edited_copies_and_verifies(spark, small):
+    from .cases import docs, prose
+
+    def edited(k, n):
+        w = prose(600, 300 + k).split()
+        for i in range(n):
+            w[50 + 97 * i] = f"edit{i}"
+        return " ".join(w)
+
+    bits = lambda a, b: (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count()
+    k, n = next((k, n) for k in range(60) for n in (4, 5) if 3 <= bits(edited(k, 0), edited(k, n)) <= 6)
+    rows = [(1, edited(k, 0)), (2, edited(k, n)), (3, "the one x"), (4, "the  one x")]
+    out = corpus_pipeline.drop_near(spark, docs(spark, rows), small)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
