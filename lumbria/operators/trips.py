@@ -132,10 +132,13 @@ def day_plans(stops: DataFrame, trip: str = "trip", start: int = 8 * 60, limit:
 
 
 def exact_day(stops: DataFrame, trip: str = "trip", limit: int = 10 * 60) -> DataFrame:
-    """(trip, best): most value of any round trip within limit, by dynamic programming over subsets; up to 14 stops."""
+    """(trip, best): most value of any round trip within limit, by dynamic programming over subsets; an error
+    for trips of more than 14 stops."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        _, d, value, _ = _arrays(g.nsmallest(14, "stop"), 0, limit)
+        if len(g) > 14:
+            raise ValueError(f"trip {g[trip].iloc[0]} has {len(g)} stops; an exact day takes 14 at most")
+        _, d, value, _ = _arrays(g, 0, limit)
         n = len(value) - 1
         cost = np.full((1 << n, n), np.inf)
         for s in range(n):

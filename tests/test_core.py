@@ -164,3 +164,9 @@ def test_trips_and_ways_cover_whole_tables(spark):
     assert stops.groupBy("trip").count().agg(F.max("count")).first()[0] <= 10
     assert plan_trips._ways(spark, d).select("way").distinct().count() == lines.select("l_orderkey").distinct().count()
     assert plan_trips.QUERIES["G16_exact_day"][0](spark, d).count() == stops.select("trip").distinct().count()
+
+
+def test_exact_day_drops_no_stops(spark):
+    stops = plan_trips._stops(spark, "/root/testdata/sf0.001").where("stop < 15").withColumn("trip", F.lit(0).cast("long"))
+    with pytest.raises(Exception, match="14 at most"):
+        trips.exact_day(stops.unionByName(stops.withColumn("stop", F.col("stop") + 100))).collect()
