@@ -131,8 +131,11 @@ def _merge(_key: tuple, old: pd.DataFrame, delta: pd.DataFrame) -> pd.DataFrame:
     out = pd.concat([merged[merged["n_docs"] > 0][["key", "n_docs", "min_doc"]], fresh[["key", "n_docs", "min_doc"]]], ignore_index=True)
     c = CuckooFilter.load(blob.iloc[0]) if len(blob) else None
     if c is not None:
-        c.delete(_half(gone["key"]))
-        c = c if c.insert(_half(fresh["key"])) else None
+        # Keys that the filter wrongly knew are as new as those it didn't know.
+        new = pd.concat([fresh["key"], rest["key"][~rest["key"].isin(table["key"])]])
+        c = c if c.insert(_half(new)) else None
+        if c is not None:
+            c.delete(_half(gone["key"]))
     c = c or _built(out["key"])
     out = out.assign(shard=shard, filter=None)
     head = pd.DataFrame({"shard": [shard], "key": [None], "n_docs": [0], "min_doc": [0], "filter": [c.dump()]})

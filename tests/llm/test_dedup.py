@@ -216,3 +216,19 @@ def test_two_stage_order():
 
 def test_ids_helper():
     assert BIG in ids()
+
+
+def test_line_store_filter_holds_keys_it_wrongly_knew(monkeypatch):
+    import pandas as pd
+
+    key = lambda k: hashlib.md5(k.encode()).digest()
+    delta = lambda k, n: pd.DataFrame({"shard": [0], "key": [key(k)], "n_docs": [n], "min_doc": [1], "reset": [False]})
+    none = pd.DataFrame({c: [] for c in ("shard", "key", "n_docs", "min_doc", "filter")})
+    old = line_dedup._merge((0,), none, delta("a", 1))
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup.CuckooFilter, "contains", lambda self, h: np.ones(len(h), bool))
+        old = line_dedup._merge((0,), old, delta("b", 1))
+    held = line_dedup.CuckooFilter.load(old["filter"].dropna().iloc[0])
+    assert held.contains(line_dedup._half(pd.Series([key("a"), key("b")]))).all()
+    back = line_dedup._merge((0,), old, delta("b", -1))
+    assert back["key"].dropna().tolist() == [key("a")]
