@@ -11,34 +11,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_KM, haversine_km
+from ..session import materialised
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", max_lat: float = 60.0, out: str = "km") -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", out: str = "km") -> DataFrame:
     """All pairs at most km apart, with their distance. Right columns lat and lon come as r_lat and r_lon.
 
-    The earth is cut into cells as wide as km at latitude max_lat, the widest that occurs; the left side is copied into
-    its cell's eight neighbours, the right side isn't. Cells wrap at 180 degrees. Points beyond max_lat are an error of
-    the caller's: raise it, cells grow. Null or nan coordinates match nothing.
+    The earth is cut into bands of km from south to north, and each band into as many columns as fit its poleward edge,
+    so that near a pole a band is one column; columns wrap at 180 degrees. The left side is copied into the cells around
+    its own, in the bands above and below by their own columns; the right side isn't copied. Null or nan coordinates
+    match nothing.
     """
-    step_lat = km / (math.pi * RADIUS_KM / 180) * 1.0001
-    step_lon = step_lat / max(0.01, math.cos(math.radians(max_lat)))
-    n = max(3, math.floor(360 / step_lon))
-    row = lambda c: F.floor(c / step_lat)
-    column = lambda c: F.pmod(F.floor((c + 180) * n / 360), F.lit(n))
+    step = math.degrees(km / RADIUS_KM) * 1.0001
+    reach = math.sin(min(math.pi / 2, km / RADIUS_KM * 1.0001))
+    band = lambda c: F.floor((c + 90) / step).cast("int")
+
+    def columns(y: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(y * step - 90), F.abs((y + 1) * step - 90)) + step, F.lit(90.0))
+        ratio = reach / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+        return F.when(ratio >= 1, 1).otherwise(F.greatest(F.floor(360 / F.degrees(F.asin(F.least(ratio, F.lit(1.0))))), F.lit(1))).cast("int")
+
+    cell = lambda c, n: F.pmod(F.floor((c + 180) * n / 360).cast("int"), n)
     there = lambda d: d.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double")))
-    around = F.expr("transform(sequence(0, 8), i -> named_struct('y', CAST(i / 3 AS INT) - 1, 'x', i % 3 - 1))")
-    a = there(left).withColumn("_n", F.explode(around))
-    a = a.withColumn("_y", row(F.col(lat)) + F.col("_n.y")).withColumn("_x", F.pmod(column(F.col(lon)) + F.col("_n.x"), F.lit(n))).drop("_n")
-    b = there(right).withColumn("_y", row(F.col(lat))).withColumn("_x", column(F.col(lon))).withColumnRenamed(lat, "r_lat").withColumnRenamed(lon, "r_lon")
+    a = there(left).withColumn("_y", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: band(F.col(lat)) + k)))
+    beside = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(cell(F.col(lon), columns(F.col("_y"))) + k, columns(F.col("_y")))))
+    a = a.withColumn("_x", F.explode(beside))
+    b = there(right).withColumn("_y", band(F.col(lat))).withColumn("_x", cell(F.col(lon), columns(F.col("_y")))).withColumnsRenamed({lat: "r_lat", lon: "r_lon"})
     d = haversine_km(F.col(lat), F.col(lon), F.col("r_lat"), F.col("r_lon"))
     return a.join(b, ["_y", "_x"]).withColumn(out, d).where(F.col(out) <= km).drop("_y", "_x")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], tie: list[str], km: float, k: int = 1, **kw) -> DataFrame:
-    """Of each left row the k nearest right rows within km, by distance, then tie; `place` from 1."""
-    pairs = radius_join(left, right, km, **kw)
+def nearest(left: DataFrame, right: DataFrame, key: list[str], tie: list[str], km: float, k: int = 1, first_km: float | None = None) -> DataFrame:
+    """Of each left row the k nearest right rows within km, by distance, then tie; `place` from 1.
+
+    Rings: those who find k within first_km (a quarter of km unless given) are done, as nothing beyond can be nearer; only
+    the others look farther, twice as far a round. No pair is ranked that a nearer ring has made needless.
+    """
     w = Window.partitionBy(*key).orderBy("km", *tie)
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    ranked = lambda d, r: radius_join(d, right, r).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    todo, r, out = left, first_km or km / 4, None
+    while r < km:
+        found = materialised(ranked(todo, r), "ring")
+        done = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(*key)
+        part = found.join(done, key, "left_semi")
+        out = part if out is None else out.unionByName(part)
+        todo = materialised(todo.join(done, key, "left_anti"), "left")
+        r *= 2
+    last = ranked(todo, km)
+    return last if out is None else out.unionByName(last)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, r_start: str, r_end: str, on: list[str] | None = None, days: int = 31) -> DataFrame:
@@ -80,16 +100,21 @@ def best_two_legs(first: DataFrame, middle: DataFrame, last: DataFrame, from_key
 def distance_to_group_median(df: DataFrame, group: str, key: str, lat: str, lon: str) -> DataFrame:
     """Each point's distance to the median point of the others of its group; null if it is alone.
 
-    Leaving one out moves a sorted list's middle by at most one place, so the medians of the others come from the
-    group's middle values and the point's own rank: two windows, no self-join.
+    Leaving one out moves a sorted list's middle by at most one place, so the medians of the others come from the three
+    values in a group's middle and the point's own rank: points are numbered by a sort, and a row a group is joined.
     """
+    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(key, group, F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
+    n = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    for c in ("_la", "_lo"):
+        rows = rows.withColumn(f"{c}_at", F.row_number().over(Window.partitionBy(group).orderBy(c, key)) - 1)
+    low = F.floor((F.col("_n") - 2) / 2)
+    middle = rows.join(n, group)
+    value = lambda c, k: F.max(F.when(F.col(f"{c}_at") == low + k, F.col(c))).alias(f"{c}{k}")
+    near = (F.col("_la_at").between(low, low + 2)) | (F.col("_lo_at").between(low, low + 2))
+    middle = middle.where(near).groupBy(group, "_n").agg(*(value(c, k) for c in ("_la", "_lo") for k in (0, 1, 2)))
 
     def other(c: str) -> Column:
-        w = Window.partitionBy(group)
-        values, n = F.sort_array(F.collect_list(c).over(w)), F.count(F.lit(1)).over(w)
-        r = F.row_number().over(Window.partitionBy(group).orderBy(c, key)) - 1
-        pick = lambda i: F.get(values, (F.when(i >= r, i + 1).otherwise(i)).cast("int"))
-        m = n - 1
-        return F.when(m > 0, (pick(F.floor((m - 1) / 2)) + pick(F.floor(m / 2))) / 2)
-
-    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(key, group, haversine_km(F.col(lat), F.col(lon), other(lat), other(lon)).alias("km"))
+        pick = lambda k: F.when(low + k >= F.col(f"{c}_at"), F.col(f"{c}{k + 1}")).otherwise(F.col(f"{c}{k}"))
+        return F.when(F.col("_n") > 1, F.when(F.col("_n") % 2 == 0, pick(0)).otherwise((pick(0) + pick(1)) / 2))
+
+    return rows.join(middle, group).select(key, group, haversine_km(F.col("_la"), F.col("_lo"), other("_la"), other("_lo")).alias("km"))
