@@ -61,7 +61,7 @@ def _rules(s, d):
     by = lambda v, name, *k: p.groupBy(*k).agg(F.min("p_partkey").alias("m")).where(f"m % 3 = {v}").select(*k, c("m").alias(name))
     out = p
     for v, name, k in ((0, "r1", ("p_brand", "p_type", "p_size")), (1, "r2", ("p_brand", "p_type")), (2, "r3", ("p_type",)), (0, "r4", ("p_size",))):
-        out = out.join(F.broadcast(by(v, name, *k)), list(k), "left")
+        out = out.join(by(v, name, *k), list(k), "left")
     return out.select("p_partkey", F.greatest(F.coalesce("r1", "r2", "r3", "r4", F.lit(-1)), F.when(c("p_size") > 40, F.lit(25)).otherwise(F.lit(0))).alias("value"))
 
 

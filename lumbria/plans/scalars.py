@@ -35,12 +35,12 @@ _RAIN = "WITH m AS (SELECT c_nationkey, CAST(month(o_orderdate) AS INT) AS month
 
 
 def _graded(s, d):
-    r = T(s, d, "lineitem").where("l_orderkey < 2000").select(c("l_orderkey").alias("query"), "l_linenumber", "l_partkey", "l_suppkey", (c("l_quantity").cast("int") % 3).cast("double").alias("grade"))
+    r = T(s, d, "lineitem").select(c("l_orderkey").alias("query"), "l_linenumber", "l_partkey", "l_suppkey", (c("l_quantity").cast("int") % 3).cast("double").alias("grade"))
     p = F.row_number().over(Window.partitionBy("query").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return r.withColumn("p", p).select("query", "grade", F.when(c("p") <= 3, c("p")).alias("place"))
 
 
-_GRADED = "g AS (SELECT l_orderkey AS query, CAST(CAST(l_quantity AS INT) % 3 AS DOUBLE) AS grade, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem WHERE l_orderkey < 2000)"
+_GRADED = "g AS (SELECT l_orderkey AS query, CAST(CAST(l_quantity AS INT) % 3 AS DOUBLE) AS grade, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem)"
 
 
 def _raters(s, d):
@@ -100,6 +100,6 @@ QUERIES = {
     "G30_krippendorff_nominal": (lambda s, d: ev.krippendorff_alpha(_raters(s, d), ordinal=False).select(F.round("alpha", 9).alias("alpha")), f"WITH {_RATERS}, n AS (SELECT unit, grade, count(*)::DOUBLE AS n FROM r GROUP BY ALL), o AS (SELECT sum((3 - n) * n / 2) AS o FROM n), m AS (SELECT sum(n) AS c FROM n GROUP BY grade), e AS (SELECT pow(sum(c), 2) - sum(c * c) AS e, sum(c) AS t FROM m) SELECT round(1 - (t - 1) * o / e, 9) AS alpha FROM o, e"),
     "G30_krippendorff_ordinal": (lambda s, d: ev.krippendorff_alpha(_raters(s, d)), None),
     "G29_compared": (lambda s, d: ev.compared(T(s, d, "nation").select((c("n_nationkey") % 5).cast("double").alias("a"), (c("n_nationkey") * 7 % 4).cast("double").alias("b")), "a", "b", times=2000), None),
-    "G31_triangle": (lambda s, d: ev.triangle_excess(T(s, d, "lineitem").where("l_orderkey < 300").select((c("l_orderkey") % 5).alias("g"), (c("l_partkey") % 8).alias("src"), (c("l_suppkey") % 8).alias("dst"), "l_quantity").where("src <> dst").groupBy("g", "src", "dst").agg(F.min("l_quantity").alias("cost")), "g"), "WITH e AS (SELECT l_orderkey % 5 AS g, l_partkey % 8 AS s, l_suppkey % 8 AS d, min(l_quantity) AS c FROM lineitem WHERE l_orderkey < 300 AND l_partkey % 8 <> l_suppkey % 8 GROUP BY ALL) SELECT a.g, max(z.c - a.c - b.c) AS excess FROM e a JOIN e b ON a.g = b.g AND a.d = b.s JOIN e z ON z.g = a.g AND z.s = a.s AND z.d = b.d GROUP BY 1"),
+    "G31_triangle": (lambda s, d: ev.triangle_excess(T(s, d, "lineitem").select((c("l_orderkey") % 5).alias("g"), (c("l_partkey") % 8).alias("src"), (c("l_suppkey") % 8).alias("dst"), "l_quantity").where("src <> dst").groupBy("g", "src", "dst").agg(F.min("l_quantity").alias("cost")), "g"), "WITH e AS (SELECT l_orderkey % 5 AS g, l_partkey % 8 AS s, l_suppkey % 8 AS d, min(l_quantity) AS c FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8 GROUP BY ALL) SELECT a.g, max(z.c - a.c - b.c) AS excess FROM e a JOIN e b ON a.g = b.g AND a.d = b.s JOIN e z ON z.g = a.g AND z.s = a.s AND z.d = b.d GROUP BY 1"),
     "A35_usability": (lambda s, d: T(s, d, "part").select("p_partkey", ev.sus_score([((c("p_partkey") * (k + 3)) % 5 + 1) for k in range(10)]).alias("score")), "SELECT p_partkey, (" + " + ".join(f"((p_partkey * {k + 3}) % 5)" if k % 2 == 0 else f"(4 - (p_partkey * {k + 3}) % 5)" for k in range(10)) + ") * 2.5::DOUBLE AS score FROM part"),
 }

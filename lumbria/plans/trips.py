@@ -45,7 +45,10 @@ def _events(s, d):
 
 
 def _dedup(s, d):
-    return st.run_once(st.ingested(_events(s, d)), "ingest").select("event_id", "event_type")
+    """Every third event is sent again, an hour later by the sender's clock, and lands among the others."""
+    e = T(s, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    again = e.where("event_id % 3 = 0").withColumn("ts", c("ts") + F.expr("INTERVAL 1 HOUR"))
+    return st.run_once(st.ingested(st.landed(e.unionByName(again), "events")), "ingest").select("event_id", "event_type")
 
 
 def _limited(s, d):
@@ -64,7 +67,7 @@ def _latest(s, d):
 QUERIES = {
     "G1_split_ways": (lambda s, d: nw.split_ways(_ways(s, d)).select("way", "segment", "u", "v", F.round("km", 6).alias("km")), None),
     "G2_transfer_edges": (lambda s, d: nw.transfer_edges(suppliers(s, d).withColumnRenamed("s_id", "id"), customers(s, d), 60).select("u", "v", F.round("km", 6).alias("km")), None),
-    "G3_edge_minutes": (lambda s, d: nw.edge_minutes(T(s, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_partkey", c("l_returnflag").alias("kind"), (c("l_quantity")).alias("km"), (c("l_partkey") % 2 == 0).alias("unpaved"), (c("l_suppkey") % 3).cast("double").alias("turns"), (c("l_suppkey") % 4 == 0).alias("town")), s.createDataFrame([("A", 1.0), ("N", 1.5), ("R", 2.0)], "kind string, pace double"), 0.5, 0.125, 2.5).select("l_orderkey", "l_partkey", "minutes"), "SELECT l_orderkey, l_partkey, l_quantity * CASE WHEN l_suppkey % 4 = 0 THEN greatest(r, 2.5::DOUBLE) ELSE r END AS minutes FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END + CASE WHEN l_partkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + (l_suppkey % 3) * 0.125::DOUBLE AS r FROM lineitem WHERE l_orderkey < 500)"),
+    "G3_edge_minutes": (lambda s, d: nw.edge_minutes(T(s, d, "lineitem").select("l_orderkey", "l_partkey", c("l_returnflag").alias("kind"), (c("l_quantity")).alias("km"), (c("l_partkey") % 2 == 0).alias("unpaved"), (c("l_suppkey") % 3).cast("double").alias("turns"), (c("l_suppkey") % 4 == 0).alias("town")), s.createDataFrame([("A", 1.0), ("N", 1.5), ("R", 2.0)], "kind string, pace double"), 0.5, 0.125, 2.5).select("l_orderkey", "l_partkey", "minutes"), "SELECT l_orderkey, l_partkey, l_quantity * CASE WHEN l_suppkey % 4 = 0 THEN greatest(r, 2.5::DOUBLE) ELSE r END AS minutes FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END + CASE WHEN l_partkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + (l_suppkey % 3) * 0.125::DOUBLE AS r FROM lineitem)"),
     "G4_parallel_edges": (lambda s, d: nw.cheapest_parallel(T(s, d, "lineitem").select((c("l_partkey") % 50).alias("u"), (c("l_suppkey") % 50).alias("v"), c("l_extendedprice").alias("minutes"))), "SELECT l_partkey % 50 AS u, l_suppkey % 50 AS v, min(l_extendedprice) AS minutes FROM lineitem GROUP BY ALL"),
     "G7_shortest_paths": (lambda s, d: nw.shortest_paths(_edges(s, d), T(s, d, "nation").select(c("n_nationkey").cast("long").alias("source"), c("n_nationkey").cast("long").alias("node"))), f"WITH {_EDGES}, {_DOUBLED} SELECT u AS source, v AS node, w AS cost FROM d5"),
     "G9_town_cells": (lambda s, d: nw.town_cells(customers(s, d), 1.0, 6.0).select(c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), F.round("density", 6).alias("density")), f"{_SQL}, n AS (SELECT CAST(floor(lat) AS INT) AS y, CAST(floor(lon) AS INT) AS x, count(*) AS n FROM c GROUP BY ALL), o AS (SELECT unnest([-1, 0, 1]) AS k) SELECT y + p.k AS y, x + q.k AS x, round(sum(n) / 9, 6) AS density FROM n, o p, o q GROUP BY 1, 2 HAVING sum(n) / 9 >= 6"),
@@ -72,6 +75,9 @@ QUERIES = {
     "G16_exact_day": (lambda s, d: tr.exact_day(_stops(s, d)), None),
     "G18_visiting_orders": (lambda s, d: tr.visiting_orders(_stops(s, d)), None),
     "G19_cost_bands": (_costs, None),
+    "ST1_received": (lambda s, d: st.run_once(st.received(_events(s, d)), "received").select("event_id", (F.abs(F.unix_timestamp("received") - F.unix_timestamp(F.current_timestamp())) < 3600).alias("now")), "SELECT event_id, true AS now FROM events"),
+    "ST8_in_order": (lambda s, d: st.in_order(st.run_once(_events(s, d), "order"), "user_id", "ts", "event_id").select("user_id", "event_id", "place"), "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('microsecond', ts), event_id) AS INT) AS place FROM events"),
+    "S13_expiry": (lambda s, d: T(s, d, "orders").where(F.expr("TIMESTAMP '1997-01-01'") < st.expires("o_orderdate")).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) + 2 > DATE '1997-01-01'"),
     "ST2_idempotent_ingest": (_dedup, "SELECT event_id, event_type FROM events"),
     "ST3_rate_limit": (_limited, None),
     "ST4_running_counts": (_counts, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
