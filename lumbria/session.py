@@ -33,10 +33,13 @@ def local_session(cores: int | str = 8, name: str = "lumbria", **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without it
+    has one of its own; on a cluster that would be another folder on each machine, so there it is an error."""
     conf = spark.sparkContext.getConf()
     if (path := conf.get("spark.checkpoint.dir")) or (path := spark.conf.get("spark.checkpoint.dir", None)):
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lumbria-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,18 +60,41 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def upsert(stream: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    """Last write wins: each batch is merged with what is there by key, into a new version; the last version is read."""
+    """Last write wins: the table of the last writes of all batches so far.
+
+    A batch writes the last write of each of its own keys under its number, and nothing else: the table isn't rewritten,
+    and a batch that is run again after a restart overwrites its own rows. Reading takes the last write of each key over
+    all batches, so no version is held by the driver.
+    """
     spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
-    schema, seen = stream.schema, [-1]
 
-    def merge(batch: DataFrame, k: int) -> None:
-        both = batch if seen[0] < 0 else batch.unionByName(spark.read.schema(schema).parquet(f"{out}/v{seen[0]}"))
-        w = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
-        both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{out}/v{k}")
-        seen[0] = k
+    def write(batch: DataFrame, k: int) -> None:
+        last_writes(batch, key, order).write.mode("overwrite").parquet(f"{out}/data/batch={k}")
+
+    stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/data/batch=-1")
+    return last_writes(spark.read.schema(stream.schema).parquet(f"{out}/data").select(*stream.columns), key, order)
+
+
+def last_writes(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by order."""
+    w = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def received(stream: DataFrame, at: str = "received") -> DataFrame:
+    """Rows with the time at which they arrive, by the cluster's clock; what the sender says of it isn't taken."""
+    return stream.drop(at).withColumn(at, F.current_timestamp())
+
+
+def in_order(df: DataFrame, session: str, at: str, tie: str, place: str = "place") -> DataFrame:
+    """Each event's place in its session by its own time: late ones take the place they belong to, none is dropped."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(session).orderBy(at, tie)))
+
 
-    stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/v{seen[0]}") if seen[0] >= 0 else spark.createDataFrame([], schema)
+def expires(end: str = "end_date") -> Column:
+    """When a published event may go: at the end of the day after its last one."""
+    return (F.date_add(F.col(end).cast("date"), 2)).cast("timestamp")
 
 
 def landed(df: DataFrame, name: str, files: int = 8, at_once: int = 4) -> DataFrame:
