@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,91 +23,128 @@ def minutes_between(lat: np.ndarray, lon: np.ndarray, km_per_hour: float = 40.0)
 
 
 class Day:
-    """A day that begins and ends at place 0; stops have opening times and lunch falls in between."""
+    """A day that begins and ends at place 0; stops have opening times and lunch falls in between.
+
+    A moment of a day is (time, place, whether lunch was had). after() leads from one to the next, so a route keeps its
+    moments and a change is followed from where it begins.
+    """
 
     def __init__(self, start: int, limit: int, travel: np.ndarray, visit: np.ndarray, opens: np.ndarray, closes: np.ndarray):
         self.start, self.limit, self.travel, self.visit, self.opens, self.closes = start, limit, travel, visit, opens, closes
 
-    def arrivals(self, order: list[int]) -> tuple[list[float], float] | None:
-        """Arrival at each stop and minutes from start to the return; None if a stop is shut or the day is over."""
-        t, at, out, ate = float(self.start), 0, [], False
-        for s in order:
-            t += self.travel[at, s]
-            if not ate and t >= 13 * 60:
-                t, ate = t + LUNCH, True
-            wait = max(0.0, self.opens[s] - t)
-            if wait > 60:
-                return None
-            t += wait
-            if t + self.visit[s] > self.closes[s]:
+    def first(self) -> tuple[float, int, bool]:
+        return float(self.start), 0, False
+
+    def after(self, moment: tuple[float, int, bool], s: int) -> tuple[float, int, bool] | None:
+        """When stop s has been visited; None if it is shut by then or opens over an hour after the arrival."""
+        t, at, ate = moment
+        t += self.travel[at, s]
+        if not ate and t >= 13 * 60:
+            t, ate = t + LUNCH, True
+        ready = max(t, self.opens[s])
+        done = ready + self.visit[s]
+        return None if ready - t > 60 or done > self.closes[s] else (done, s, ate)
+
+    def moments(self, stops: Iterable[int], begin: tuple[float, int, bool] | None = None) -> list[tuple[float, int, bool]] | None:
+        out = [begin or self.first()]
+        for s in stops:
+            nxt = self.after(out[-1], s)
+            if nxt is None:
                 return None
-            out.append(t)
-            t, at = t + self.visit[s], s
-        used = t + self.travel[at, 0] - self.start
-        return (out, used) if used <= self.limit + (LUNCH if ate else 0) else None
+            out.append(nxt)
+        return out
+
+    def used(self, moment: tuple[float, int, bool]) -> float | None:
+        """Minutes from start to the return from here; None if the day is over by then."""
+        t, at, ate = moment
+        n = t + self.travel[at, 0] - self.start
+        return n if n <= self.limit + LUNCH * ate else None
+
+    def arrivals(self, route: list[int]) -> tuple[list[float], float] | None:
+        """Arrival at each stop, waiting included, and minutes from start to the return; None if the route can't be made."""
+        m = self.moments(route)
+        n = m and self.used(m[-1])
+        return None if n is None else ([t - self.visit[s] for t, s, _ in m[1:]], n)
+
+
+def _insertions(route: list[int], day: Day, free: np.ndarray, gain: np.ndarray) -> Iterator[tuple[float, int, int]]:
+    """(gain a minute, position, stop) of all insertions into a route, the best first: one table of detours, sorted."""
+    a, b = np.array([0, *route]), np.array([*route, 0])
+    detour = day.travel[a][:, free] + day.travel[free][:, b].T - (day.travel[a, b][:, None] if route else 0.0) + day.visit[free]
+    rate = gain[free] / np.maximum(detour, 1.0)
+    for k in np.lexsort((np.tile(free, len(a)), np.repeat(np.arange(len(a)), len(free)), -rate.ravel())):
+        pos, i = divmod(int(k), len(free))
+        yield float(rate[pos, i]), pos, int(free[i])
+
+
+def _filled(routes: list[list[int]], days: list[Day], value: np.ndarray, kinds: np.ndarray, power: float) -> None:
+    """Inserts stops as long as one fits, each time the one with most gain a minute anywhere."""
+    free = np.setdiff1d(np.arange(1, len(value)), [s for r in routes for s in r])
+    while len(free):
+        seen = np.bincount(kinds[[s for r in routes for s in r]], minlength=int(kinds.max()) + 1) if any(routes) else np.zeros(int(kinds.max()) + 1, int)
+        gain = (value * REPEAT ** seen[kinds]) ** power
+        best = None
+        for k, (r, d) in enumerate(zip(routes, days, strict=True)):
+            if len(r) >= PER_DAY:
+                continue
+            moments = d.moments(r)
+            for rate, pos, s in _insertions(r, d, free, gain):
+                if best and rate <= best[0]:
+                    break
+                m = d.moments([s, *r[pos:]], moments[pos])
+                if m and d.used(m[-1]) is not None:
+                    best = (rate, k, pos, s)
+                    break
+        if best is None:
+            return
+        routes[best[1]].insert(best[2], best[3])
+        free = free[free != best[3]]
+
+
+def shortened(route: list[int], day: Day) -> list[int]:
+    """Turns round the stretch whose turning saves most, until none does."""
+    while True:
+        moments = day.moments(route)
+        best, saved = None, 1e-9
+        now = day.used(moments[-1]) if moments else None
+        if now is None:
+            return route
+        for i in range(len(route) - 1):
+            for j in range(i + 2, len(route) + 1):
+                turned = [*route[i:j][::-1], *route[j:]]
+                m = day.moments(turned, moments[i])
+                n = m and day.used(m[-1])
+                if n is not None and now - n > saved:
+                    best, saved = [*route[:i], *turned], now - n
+        if best is None:
+            return route
+        route = best
 
 
 def plan(days: list[Day], value: np.ndarray, kind: list[str]) -> list[list[int]]:
-    """Routes of stops 1.. by day: the best of a few runs of greedy insertion, shortening and insertion again."""
-    best, top = [[] for _ in days], -1.0
+    """Routes of stops 1.. by day: of a few beginnings, each filled, shortened and filled again, that with most value."""
+    kinds = np.unique(kind, return_inverse=True)[1]
+    results = []
     for seeded, power in STARTS:
         routes: list[list[int]] = [[] for _ in days]
-        free = set(range(1, len(value)))
-        if seeded:
+        if seeded:  # each day begins with the most valuable stop that it can hold, the nearest of equals
             for r, d in zip(routes, days, strict=True):
-                fit = [s for s in free if d.arrivals([s])]
-                if fit:
-                    s = min(fit, key=lambda s: (-value[s], days[0].travel[0, s], s))
-                    r.append(s)
-                    free.discard(s)
+                taken = {s for x in routes for s in x}
+                alone = (s for s in np.lexsort((np.arange(1, len(value)), d.travel[0, 1:], -value[1:])) + 1 if int(s) not in taken and d.arrivals([int(s)]))
+                r.extend(int(s) for s in islice(alone, 1))
         for _ in range(2):
-            while (move := _best_insertion(routes, days, free, value, kind, power)) is not None:
-                k, pos, s = move
-                routes[k].insert(pos, s)
-                free.discard(s)
+            _filled(routes, days, value, kinds, power)
             routes = [shortened(r, d) for r, d in zip(routes, days, strict=True)]
-        total = worth(routes, value, kind)
-        if total > top + 1e-9:
-            best, top = routes, total
-    return best
-
-
-def _best_insertion(routes, days, free, value, kind, power):
-    seen = [kind[s] for r in routes for s in r]
-    best = None
-    for k, (r, d) in enumerate(zip(routes, days, strict=True)):
-        if len(r) >= PER_DAY:
-            continue
-        for s in free:
-            v = (value[s] * REPEAT ** seen.count(kind[s])) ** power
-            for pos in range(len(r) + 1):
-                a, b = r[pos - 1] if pos else 0, r[pos] if pos < len(r) else 0
-                extra = d.travel[a, s] + d.travel[s, b] - (d.travel[a, b] if r else 0.0) + d.visit[s]
-                key = (-v / max(extra, 1.0), k, pos, s)
-                if (best is None or key < best[0]) and d.arrivals([*r[:pos], s, *r[pos:]]):
-                    best = (key, (k, pos, s))
-    return best and best[1]
-
-
-def shortened(route: list[int], day: Day) -> list[int]:
-    """Reverses stretches while the day ends earlier for it."""
-    got = day.arrivals(route)
-    while got:
-        tries = ((*route[:i], *reversed(route[i:j]), *route[j:]) for i in range(len(route)) for j in range(i + 2, len(route) + 1))
-        better = next((list(t) for t in tries if (x := day.arrivals(list(t))) and x[1] < got[1] - 1e-9), None)
-        if better is None:
-            break
-        route, got = better, day.arrivals(better)
-    return route
+        results.append((worth(routes, value, kind), routes))
+    top = max(w for w, _ in results)
+    return next(r for w, r in results if w >= top - 1e-9)
 
 
 def worth(routes: list[list[int]], value: np.ndarray, kind: list[str]) -> float:
-    seen: dict[str, int] = {}
-    total = 0.0
-    for s in (s for r in routes for s in r):
-        total += value[s] * REPEAT ** seen.get(kind[s], 0)
-        seen[kind[s]] = seen.get(kind[s], 0) + 1
-    return total
+    """Value of all stops, the k-th of a kind counting REPEAT ** k."""
+    order = [s for r in routes for s in r]
+    nth = [sum(kind[x] == kind[s] for x in order[:n]) for n, s in enumerate(order)]
+    return float(sum(value[s] * REPEAT**k for s, k in zip(order, nth, strict=True)))
 
 
 def _arrays(g: pd.DataFrame, start: int, limit: int):
@@ -196,3 +234,27 @@ def cost_bands(trips: DataFrame, ranges: dict[str, tuple[float, float]], amounts
             yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["p20", "p50", "p80"])
 
     return trips.withColumn("_b", bands(*(F.col(amounts[n]) for n in names))).select(*trips.columns, "_b.*")
+
+
+def best_order(stops: DataFrame, trip: str = "trip", most: int = 7) -> DataFrame:
+    """(trip, given, best): minutes of the round trip in the order of the stops' places, and in the best order of all.
+
+    Over subsets, the shortest way that ends at each stop; an error for trips of more than `most` stops."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > most:
+            raise ValueError(f"trip {g[trip].iloc[0]} has {len(g)} stops; {most} at most")
+        _, d, _, _ = _arrays(g, 0, 10**9)
+        n, t = len(g), d.travel
+        tour = sum(t[a, b] for a, b in zip(range(n + 1), [*range(1, n + 1), 0], strict=True))
+        ways = {(1 << s, s): t[0, s + 1] for s in range(n)}
+        for size in range(2, n + 1):
+            ways = {
+                (m | 1 << s, s): min(c + t[last + 1, s + 1] for (m2, last), c in ways.items() if m2 == m)
+                for m in {m for m, _ in ways} if m.bit_count() == size - 1
+                for s in range(n) if not m >> s & 1
+            }
+        best = min(c + t[s + 1, 0] for (_, s), c in ways.items())
+        return pd.DataFrame({trip: [g[trip].iloc[0]], "given": [float(tour)], "best": [float(best)]})
+
+    return stops.groupBy(trip).applyInPandas(one, f"{trip} long, given double, best double")
