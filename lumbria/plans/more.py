@@ -50,6 +50,12 @@ def _search(s: SparkSession, d: str) -> DataFrame:
     return typed.crossJoin(F.broadcast(z)).select("typed", "n_nationkey", tier.cast("int").alias("tier")).where("tier IS NOT NULL")
 
 
+_SEARCH = """WITH b AS (SELECT s_nationkey, max(s_suppkey % 9) AS rank FROM supplier WHERE regexp_matches(lower(s_name), '0+1\\d$') GROUP BY 1),
+z AS (SELECT n_nationkey, lower(n_name) AS n, lower(r_name) AS r, rank FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN b ON s_nationkey = n_nationkey), t AS (SELECT ['nat', '1', 'as', 'af', '2'][r_regionkey + 1] AS typed FROM region),
+h AS (SELECT typed, n_nationkey, rank, list_position(list_transform(range(1, len(string_split(n, '_')) + 1), lambda i: starts_with(array_to_string(string_split(n, '_')[i:], ''), typed)), true) AS hn, list_position(list_transform(range(1, len(string_split(r, '_')) + 1), lambda i: starts_with(array_to_string(string_split(r, '_')[i:], ''), typed)), true) AS hr FROM t, z),
+k AS (SELECT typed, n_nationkey, CAST(CASE WHEN hn = 1 THEN 0 WHEN hn > 1 THEN 1 WHEN rank IS NOT NULL AND length(typed) >= 3 THEN 10 - rank WHEN hr > 0 THEN 11 END AS INT) AS tier FROM h) SELECT * FROM k WHERE tier IS NOT NULL"""
+
+
 def _business(s: SparkSession, d: str) -> DataFrame:
     """Per channel: visitors, buyers, their rate, revenue, variable and marketing cost; fixed cost isn't prorated."""
     o = T(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
@@ -120,7 +126,7 @@ QUERIES = {
     "A38_cost_lines": (lambda s, d: T(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(c("l_returnflag") != "R", c("l_quantity").cast("long")).otherwise(0)).alias("single"), F.coalesce(F.max(F.when(c("l_returnflag") == "R", c("l_quantity").cast("long"))), F.lit(0)).alias("combined")).withColumn("total", c("single") + c("combined")), "SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS single, CAST(coalesce(max(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS BIGINT) AS combined, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) + coalesce(max(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS BIGINT) AS total FROM lineitem GROUP BY 1"),
     "F5_altitude": (lambda s, d: T(s, d, "nation").select("n_nationkey", parsers.altitude(F.expr("element_at(array('350', '3,399 m', '3.635 msnm', '2 650 msnm', '150 - 1550', '4310 a 4546', '8548773', 'sin dato', '4, 138', '1 y 2 y 3'), n_nationkey % 10 + 1)")).alias("a")).select("n_nationkey", "a.low", "a.high"), "SELECT n_nationkey, CAST([350, 3399, 3635, 2650, 150, 4310, NULL, NULL, 4138, NULL][n_nationkey % 10 + 1] AS DOUBLE) AS low, CAST([350, 3399, 3635, 2650, 1550, 4546, NULL, NULL, 4138, NULL][n_nationkey % 10 + 1] AS DOUBLE) AS high FROM nation"),
     "F8_open_days": (lambda s, d: T(s, d, "nation").select("n_nationkey", F.array_join(parsers.open_days(F.expr("element_at(array('De martes a domingo', 'Sábados y domingos', 'todos los días excepto lunes', 'lunes cerrado', 'viernes a lunes', 'con reserva'), n_nationkey % 6 + 1)")), ",").alias("days")), "SELECT n_nationkey, ['1,2,3,4,5,6', '5,6', '1,2,3,4,5,6', '1,2,3,4,5,6', '0,4,5,6', NULL][n_nationkey % 6 + 1] AS days FROM nation"),
-    "F35_zone_search": (_search, None),
+    "F35_zone_search": (_search, _SEARCH),
     "F36_rounding": (lambda s, d: T(s, d, "part").select("p_partkey", F.bround(c("p_size") / 2).alias("even"), F.round(c("p_size") / 2).alias("up")), "SELECT p_partkey, round_even(p_size / 2, 0) AS even, round(p_size / 2) AS up FROM part"),
     "G23_pace_grid": (_pace, "WITH l AS (SELECT l_orderkey % 4 AS g, CAST(l_partkey % 100 AS DOUBLE) AS km, l_quantity AS m FROM lineitem), p AS (SELECT i / 8 AS a, CAST(k * 5 AS DOUBLE) AS b FROM (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(0, 5)) AS k)), e AS (SELECT g, a, b, sum(abs(a * km + b - m)) AS e FROM l, p GROUP BY ALL), o AS (SELECT x.g, a, b, round(sum(e), 6) AS e FROM e JOIN (SELECT unnest(range(4)) AS g) x ON e.g <> x.g GROUP BY ALL) SELECT g, a, b, e FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, a, b) AS r FROM o) WHERE r = 1"),
     "G34_two_sources": (lambda s, d: u.correlations(T(s, d, "part").select(c("p_size").cast("double").alias("a"), F.when(c("p_partkey") % 4 > 0, c("p_retailprice")).alias("b")), ["a", "b"], 6).where("x < y").withColumn("r", F.round("r", 6)), "SELECT 'a' AS x, 'b' AS y, count(*) AS n, round(corr(p_size, p_retailprice), 6) AS r FROM part WHERE p_partkey % 4 > 0"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,3 +66,93 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
         part = part.select(F.lit(name).alias("name"), "rows", F.sha2(F.concat_ws("|", "rows", "total", "low", "high"), 256).alias("sha256"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, cells) of headed CSV files whose encoding and separator are told from each file: UTF-8 with or without
+    a BOM, else Windows-1252; of semicolon, comma and tab the one that the header has most of. cells maps the header's
+    names to the row's values; a file is parsed by one task, so files should be of ordinary size."""
+
+    def parse(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    text = raw.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = raw.decode("cp1252", errors="replace")
+                head = text.partition("\n")[0]
+                sep = max(";,\t", key=lambda s: (head.count(s), s == ";"))
+                rows = [[*r.items()] for r in csv.DictReader(io.StringIO(text, newline=""), delimiter=sep, restkey="_more", restval=None)]
+                rows = [[(k, v if isinstance(v, str) or v is None else sep.join(v)) for k, v in r] for r in rows]
+                for i in range(0, len(rows), 4096):
+                    part = rows[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i + 1, i + 1 + len(part)), pa.int32()), pa.array(part, pa.map_(pa.string(), pa.string()))], names=["file", "line", "cells"])
+
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    return raw.mapInArrow(parse, "file string, line int, cells map<string,string>")
+
+
+def read_rasters(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, layer, row, col, value) of the arrays in npz files: a row per finite cell; two-dimensional arrays have
+    layer 0. A file is read by one task and leaves it in pieces of 65,536 cells."""
+
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    return raster_cells(raw)
+
+
+def raster_cells(raw: DataFrame) -> DataFrame:
+    """Cells as read_rasters() gives them, of rows (file, content)."""
+
+    def cells(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for file, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
+                    for name in z.files:
+                        a = z[name]
+                        if a.ndim not in (2, 3):
+                            continue
+                        a = a.reshape((-1, *a.shape[-2:]))
+                        at = np.flatnonzero(np.isfinite(a.ravel().astype(float)))
+                        for i in range(0, len(at), 65536):
+                            k = at[i : i + 65536]
+                            layer, row, col = np.unravel_index(k, a.shape)
+                            n = len(k)
+                            yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([name] * n), *(pa.array(x.astype(np.int32)) for x in (layer, row, col)), pa.array(a.ravel()[k].astype(float))], names=["file", "name", "layer", "row", "col", "value"])
+
+    return raw.mapInArrow(cells, "file string, name string, layer int, row int, col int, value double")
+
+
+_TAGS = "tag ARRAY<STRUCT<_k: STRING, _v: STRING>>"
+
+
+def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, lat, lon, tags) and ways (id, nodes, tags) of map data in XML, tags as maps."""
+    read = lambda row, schema: spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
+    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))).alias("tags")
+    nodes = read("node", f"_id LONG, _lat DOUBLE, _lon DOUBLE, {_TAGS}").select(F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), tags)
+    ways = read("way", f"_id LONG, nd ARRAY<STRUCT<_ref: LONG>>, {_TAGS}").select(F.col("_id").alias("id"), F.transform("nd", lambda n: n["_ref"]).alias("nodes"), tags)
+    return nodes, ways
+
+
+def html_record(html: Column) -> Column:
+    """A page as a record: title, headings, links, paragraphs and the cells of its tables in order, as plain text."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    every = lambda p: F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(p), F.lit(1))
+    inside = lambda tag: F.transform(every(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), plain)
+    return F.struct(
+        F.get(inside("title"), F.lit(0)).alias("title"),
+        inside("h[1-3]").alias("headings"),
+        every(r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"'>]*)").alias("links"),
+        inside("p").alias("paragraphs"),
+        inside("t[dh]").alias("cells"),
+    )

@@ -114,3 +114,35 @@ def test_reports_stand_empty_tables(spark):
     r = reports.coverage(none, spark.range(3).withColumnRenamed("id", "query")).first()
     assert r.with_0 == 3 and r.trips is None
     assert reports.blind_kit(none.withColumn("system", F.lit("x")), "s").count() == 0
+
+
+def test_best_order_and_day_plans(spark):
+    from lumbria.operators import trips
+
+    r = random.Random(6)
+    rows = [(t, t * 10 + k, -12 + r.random() / 3, -77 + r.random() / 3, -12.0, -77.0, float(r.randrange(30, 90)), 420.0, 1200.0, r.random() * 10, "abc"[k % 3], 2) for t in range(4) for k in range(6)]
+    d = spark.createDataFrame(rows, "trip long, stop long, lat double, lon double, base_lat double, base_lon double, visit double, opens double, closes double, value double, kind string, days int")
+    got = {x.trip: (x.given, x.best) for x in trips.best_order(d).collect()}
+    for t in range(4):
+        at = [(-12.0, -77.0)] + [(x[2], x[3]) for x in rows if x[0] == t]
+        tour = lambda o: sum(km(*at[a], *at[b]) for a, b in itertools.pairwise([0, *o, 0])) * 1.5  # noqa: E731, B023
+        assert got[t] == pytest.approx((tour(range(1, 7)), min(map(tour, itertools.permutations(range(1, 7))))))
+    plans = trips.day_plans(d).collect()
+    assert len({(x.trip, x.stop) for x in plans}) == len(plans) > 8
+    for t in range(4):
+        for day in (1, 2):
+            own = sorted((x for x in plans if x.trip == t and x.day == day), key=lambda x: x.place)
+            assert [x.place for x in own] == list(range(1, len(own) + 1)) and len(own) <= 6
+            assert all(420 <= x.arrives < y.arrives <= 1200 for x, y in itertools.pairwise(own))
+
+
+def test_distances(spark):
+    from lumbria.functions.distances import distance_time
+
+    want = {
+        "14 km / 1 h 10 min": (14, 70, False), "3 km 250 metros": (3.25, None, False), "4 dias de ida y cuatro dias de retorno": (None, 5760, False), "3h 25m": (None, 205, False), "120 m / 12 m": (0.12, 12, False), "48 K. 35 m.": (48, 35, False),
+        "25:00 minutos": (None, 25, False), "60 km / 1:30 min": (60, 90, True), "95km / 2.20 min": (95, 140, True), "1.15 horas": (None, 75, True), "media hora": (None, 30, False), "tres horas y media": (None, 210, False), "5 horas 9 km": (9, 300, False),
+        "1,450 m": (1.45, None, False), "2 millas": (3.704, None, False), "2 1/2 km": (2.5, None, False), "31": (None, None, False), None: (None, None, False), "un cuarto de hora": (None, 15, False),
+    }
+    d = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: tuple(r.v) for r in d.select("t", distance_time(F.col("t")).alias("v")).collect()} == want
