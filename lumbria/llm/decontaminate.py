@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,114 +10,148 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .textcols import blocks, flat, id_out, pick, small_batches
-from .tokens import word_tokens
+from .textcols import blocks, flat, id_out, lowered, pick, small_batches, trimmed
+from .tokens import word_spans
 
 #: Words of a window.
 WINDOW = 13
 #: Texts of a segment hold so many bytes together, or are one longer text.
 SEGMENT_BYTES = 1 << 20
-#: Test items are searched in blocks of so many bytes; a block is what a task holds of the test set.
-BLOCK_BYTES = 8 << 20
+#: Test items are searched in blocks of so many bytes of text. A block takes about 2.5 times that, in a task as on the
+#: driver: its words, a number per word and where windows begin.
+BLOCK_BYTES = 4 << 20
+#: Windows that are intersected together.
+TOGETHER = 4096
 
-_SEGMENT = "doc_ids array<long>, token_at array<long>, terms binary, list_at binary, places binary"
+_SEGMENT = "doc_ids array<long>, token_at array<long>, terms binary, list_at binary, places binary, words binary, word_at binary"
+
+
+def _dictionary(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of the words that begin at starts[first], one after another, and their offsets."""
+    size = ends[first] - starts[first]
+    at = np.r_[0, np.cumsum(size)]
+    return low[np.repeat(starts[first] - at[:-1], size) + np.arange(at[-1])].tobytes(), at
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5]
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         data, off = flat(b.column(1))
-        rows = []
         for i, j in blocks(off, SEGMENT_BYTES):
-            tok, at = word_tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            low = lowered(data[off[i] : off[j]])
+            tok, starts, ends, at = word_spans(low, off[i : j + 1] - off[i])
             order = np.argsort(tok, kind="stable")
             terms, list_at = np.unique(tok[order], return_index=True)
-            rows.append((ids[i:j].tolist(), at.tolist(), terms.tobytes(), np.r_[list_at, len(tok)].astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes()))
-        cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_ids", "token_at", "terms", "list_at", "places"])
+            words, word_at = _dictionary(low, starts, ends, order[list_at] if len(tok) else order)
+            row = (ids[i:j].tolist(), at.tolist(), terms.tobytes(), np.r_[list_at, len(tok)].astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes(), words, word_at.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names=["doc_ids", "token_at", "terms", "list_at", "places", "words", "word_at"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index as a table of segments. A segment holds whole texts; per distinct term, in order of the terms'
-    hashes, its ascending token places, and where each text's tokens begin. No row is shuffled: a phrase can't leave
+    """The index as a table of segments. A segment holds whole texts; per distinct term its ascending token places and its
+    word, in order of the terms' hashes, and where each text's tokens begin. No row is shuffled: a phrase can't leave
     its text, so postings stay with their segment, and any number of segments is searched side by side."""
     small_batches(docs)
-    segments = pick(docs, id_col, text_col).mapInArrow(_segments, _SEGMENT)
+    segments = pick(docs, id_col, text_col).mapInArrow(trimmed(_segments), _SEGMENT)
     return materialised(segments.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item its words, space-joined, and their hashes."""
     for b in batches:
-        ids = b.column(0).to_pylist()
-        tok, at = word_tokens(*flat(b.column(1)))
-        out_i, out_t = [], []
-        for i, s, e in zip(ids, at[:-1], at[1:], strict=True):
-            for k in range(s, max(s + 1, e - WINDOW + 1)) if e > s else ():
-                out_i.append(i)
-                out_t.append(tok[k : min(k + WINDOW, e)].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_t, pa.binary())], names=["item_id", "terms"])
+        data, off = flat(b.column(1))
+        low = lowered(data)
+        tok, starts, ends, at = word_spans(low, off)
+        words = [b" ".join(low[s:e].tobytes() for s, e in zip(starts[i:j], ends[i:j], strict=True)) for i, j in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tok[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array(words, pa.binary())], names=["item_id", "terms", "words"])
 
 
 class _Phrases:
-    """A block of windows, grouped by length, each with the items that have it."""
+    """A block of items: all their terms one after another, and by length where windows begin and whose they are."""
 
     def __init__(self, rows: list):
-        by: dict[bytes, set] = {}
-        for r in rows:
-            by.setdefault(bytes(r["terms"]), set()).add(r["item_id"])
-        self.groups = []
-        for n in sorted({len(t) for t in by}):
-            own = [t for t in by if len(t) == n]
-            items = [sorted(by[t]) for t in own]
-            self.groups.append((np.frombuffer(b"".join(own), np.uint64).reshape(-1, n // 8), np.array([x for i in items for x in i], np.int64), np.r_[0, np.cumsum([len(i) for i in items])]))
-
-    def search(self, terms: np.ndarray, list_at: np.ndarray, places: np.ndarray, token_at: np.ndarray, slop: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        items = [(r["item_id"], np.frombuffer(bytes(r["terms"]), np.uint64)) for r in rows]
+        flat_terms = np.concatenate([np.zeros(0, np.uint64), *(t for _, t in items)])
+        self.known, first, self.of = np.unique(flat_terms, return_index=True, return_inverse=True)
+        self.of = self.of.astype(np.int32)
+        words = [w for r in rows for w in bytes(r["words"]).split(b" ") if w]
+        self.words = [words[k] for k in first]
+        begins: dict[int, list] = {}
+        at = 0
+        for i, t in items:
+            if len(t):
+                n = min(WINDOW, len(t))
+                begins.setdefault(n, []).append((np.arange(at, at + len(t) - n + 1, dtype=np.int32), i))
+                at += len(t)
+        self.groups = [(n, np.concatenate([s for s, _ in own]), np.repeat(np.array([i for _, i in own], np.int64), [len(s) for s, _ in own])) for n, own in sorted(begins.items())]
+
+    def _found(self, terms: np.ndarray, words: bytes, word_at: np.ndarray) -> np.ndarray:
+        """Number in the segment of each known term, -1 if it isn't there. Hashes find it, the word itself decides."""
+        t = np.minimum(np.searchsorted(terms, self.known), len(terms) - 1)
+        out = np.full(len(self.known), -1, np.int64)
+        for k in np.flatnonzero(terms[t] == self.known):
+            if words[word_at[t[k]] : word_at[t[k] + 1]] == self.words[k]:
+                out[k] = t[k]
+        return out
+
+    def search(self, segment: tuple[np.ndarray, ...], token_at: np.ndarray, slop: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Token places hit, and (text number, item) pairs. The rarest term's list proposes starts; the other lists,
         shifted by the terms' offsets, are intersected in order of their lengths. With slop, a term may stand so many
         places off its own."""
+        terms, list_at, places, words, word_at = segment
         hit = np.zeros(len(places), bool)
         pairs: set[tuple[int, int]] = set()
-        if not len(terms):
+        if not len(terms) or not len(self.known):
             return hit, []
         sizes = np.diff(list_at)
-        keyed = (np.repeat(np.arange(len(terms), dtype=np.int64), sizes) << 32) + places
-        for wanted, items, item_at in self.groups:
-            t = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
-            some = np.flatnonzero((terms[t] == wanted).all(1))
-            if not len(some):
-                continue
-            t, n = t[some], wanted.shape[1]
-            order = np.argsort(sizes[t], axis=1, kind="stable")
-            rare = t[np.arange(len(t)), order[:, 0]]
-            count = sizes[rare]
-            win = np.repeat(np.arange(len(t)), count)
-            start = places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + list_at[rare][win]].astype(np.int64) - order[win, 0]
-            met = np.zeros((len(win), n), np.int64)
-            met[np.arange(len(win)), order[win, 0]] = start + order[win, 0]
-            for k in range(1, n):
-                c = order[win, k]
-                low = np.maximum(start + c - slop, 0)
-                key = t[win, c].astype(np.int64) << 32
-                at = np.minimum(np.searchsorted(keyed, key + low), len(keyed) - 1)
-                ok = (keyed[at] >= key + low) & (keyed[at] <= key + start + c + slop)
-                met[np.arange(len(win)), c] = keyed[at] & 0xFFFFFFFF
-                win, start, met = win[ok], start[ok], met[ok]
-            text = np.searchsorted(token_at, met.min(1), side="right") - 1 if len(win) else np.zeros(0, np.int64)
-            ok = met.max(1) < token_at[text + 1] if len(win) else np.zeros(0, bool)
-            hit[met[ok].ravel()] = True
-            for d, w in set(zip(text[ok].tolist(), some[win[ok]].tolist(), strict=True)):
-                pairs.update((d, int(i)) for i in items[item_at[w] : item_at[w + 1]])
+        at = self._found(terms, words, word_at)[self.of]
+        gaps = np.r_[0, np.cumsum(at < 0)]
+        keyed = None
+        for n, begin, items in self.groups:
+            some = np.flatnonzero(gaps[begin + n] == gaps[begin])
+            if len(some) and keyed is None:
+                keyed = (np.repeat(np.arange(len(terms), dtype=np.int64), sizes) << 32) + places
+            for s in range(0, len(some), TOGETHER):
+                part = some[s : s + TOGETHER]
+                met, win = self._met(at[begin[part][:, None] + np.arange(n)], sizes, list_at, places, keyed, slop)
+                if not len(win):
+                    continue
+                text = np.searchsorted(token_at, met.min(1), side="right") - 1
+                ok = met.max(1) < token_at[text + 1]
+                hit[met[ok].ravel()] = True
+                pairs.update(zip(text[ok].tolist(), items[part[win[ok]]].tolist(), strict=True))
         return hit, sorted(pairs)
 
+    @staticmethod
+    def _met(t: np.ndarray, sizes: np.ndarray, list_at: np.ndarray, places: np.ndarray, keyed: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token places of the occurrences of windows t, rows of term numbers, and the row of each."""
+        n = t.shape[1]
+        order = np.argsort(sizes[t], axis=1, kind="stable")
+        rare = t[np.arange(len(t)), order[:, 0]]
+        count = sizes[rare]
+        win = np.repeat(np.arange(len(t)), count)
+        start = places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + list_at[rare][win]].astype(np.int64) - order[win, 0]
+        met = np.zeros((len(win), n), np.int64)
+        met[np.arange(len(win)), order[win, 0]] = start + order[win, 0]
+        for k in range(1, n):
+            c = order[win, k]
+            low = np.maximum(start + c - slop, 0)
+            key = t[win, c] << 32
+            at = np.minimum(np.searchsorted(keyed, key + low), len(keyed) - 1)
+            ok = (keyed[at] >= key + low) & (keyed[at] <= key + start + c + slop)
+            met[np.arange(len(win)), c] = keyed[at] & 0xFFFFFFFF
+            win, start, met = win[ok], start[ok], met[ok]
+        return met, win
+
 
 def _searched(phrases: _Phrases, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 ids, token_at = b.column(0)[k].as_py(), np.array(b.column(1)[k].as_py(), np.int64)
-                terms, list_at, places = (np.frombuffer(b.column(c)[k].as_buffer() or b"", d) for c, d in ((2, np.uint64), (3, np.uint32), (4, np.uint32)))
-                hit, pairs = phrases.search(terms, list_at.astype(np.int64), places, token_at, slop)
+                terms, list_at, places, word_at = (np.frombuffer(b.column(c)[k].as_buffer() or b"", d) for c, d in ((2, np.uint64), (3, np.uint32), (4, np.uint32), (6, np.uint32)))
+                hit, pairs = phrases.search((terms, list_at.astype(np.int64), places, b.column(5)[k].as_py(), word_at), token_at, slop)
                 items: list[list[int]] = [[] for _ in ids]
                 for d, i in pairs:
                     items[d].append(i)
@@ -126,7 +159,7 @@ def _searched(phrases: _Phrases, slop: int):
                 cut = np.searchsorted(at, token_at)
                 words = [(at[cut[d] : cut[d + 1]] - token_at[d]).tolist() for d in range(len(ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.diff(token_at)), pa.array(words, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array([f"{b.column(5)[k].as_py()}:{d}" for d in range(len(ids))])],
+                    [pa.array(ids, pa.int64()), pa.array(np.diff(token_at)), pa.array(words, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array([f"{b.column(7)[k].as_py()}:{d}" for d in range(len(ids))])],
                     names=["doc_id", "n_words", "hit_words", "items", "row"],
                 )
 
@@ -137,19 +170,19 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
     """Per text of the index: doc_id, n_words, hit_words (places of the words that any found window covers) and items
     (ids of the items with a found window). slop 0: exact phrases; more: proximity, each term at most so far off.
 
-    The windows are gathered in blocks of BLOCK_BYTES of item texts, so what a task holds is bounded however many items
-    there are; several blocks are several passes over the index, joined by text. Repeated words, items and texts count
-    as they stand; a text or item without words has no window; null texts are empty. Terms are 64-bit hashes of words.
+    Items are searched in blocks of BLOCK_BYTES of their texts, so what the driver and a task hold is bounded however
+    many items there are; several blocks are several passes over the index, joined by text. Repeated words, items and
+    texts count as they stand; a text or item without words has no window; null texts are empty. A term is looked up by
+    a 64-bit hash and its word is compared; two words of one segment are taken to differ in their hashes.
     """
     t = pick(items, id_col, text_col, "item_id", "text")
     size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    small_batches(index)
     out = None
     for k in range(n):
-        found = t.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).mapInArrow(_windows, "item_id long, terms binary").collect()
-        part = index.mapInArrow(_searched(_Phrases(found), slop), "doc_id long, n_words long, hit_words array<long>, items array<long>, row string")
+        found = t.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).mapInArrow(trimmed(_terms), "item_id long, terms binary, words binary").collect()
+        part = index.mapInArrow(trimmed(_searched(_Phrases(found), slop)), "doc_id long, n_words long, hit_words array<long>, items array<long>, row string")
         if out is None:
             out = part
         else:

@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialised
-from .textcols import ASCII_LOWER, id_out, pick, small_batches
+from .textcols import ASCII_LOWER, give_back, id_out, pick, small_batches, trimmed
 
 #: Bytes of the normalised text that lead the sort key. The digest follows, so the key is bounded however long texts are.
 LEAD = 64
 
 
 @F.pandas_udf(T.StructType([T.StructField("lead", T.BinaryType()), T.StructField("sha", T.BinaryType())]))
-def _key(texts: pd.Series) -> pd.DataFrame:
-    lead, sha = [], []
-    for t in texts:
-        b = t.encode().translate(ASCII_LOWER)
-        lead.append(b[:LEAD])
-        sha.append(hashlib.sha256(b).digest())
-    return pd.DataFrame({"lead": lead, "sha": sha})
+def _key(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    try:
+        for texts in it:
+            lead, sha = [], []
+            for t in texts:
+                b = t.encode().translate(ASCII_LOWER)
+                lead.append(b[:LEAD])
+                sha.append(hashlib.sha256(b).digest())
+            yield pd.DataFrame({"lead": lead, "sha": sha})
+    finally:
+        give_back()
 
 
 _RUNS = "doc_id long, keep_id long, group_size long, sha binary, edge boolean, head boolean, once boolean"
@@ -77,7 +81,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     d = pick(df, id_col, text_col).withColumn("k", _key("text"))
     d = d.select("doc_id", "text", F.col("k.sha").alias("sha"), F.col("k.lead").alias("lead"))
     d = d.repartitionByRange("lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "doc_id")
-    rows = materialised(d.select("doc_id", "text", "sha").mapInArrow(_runs(keep == "max"), _RUNS), "runs")
+    rows = materialised(d.select("doc_id", "text", "sha").mapInArrow(trimmed(_runs(keep == "max")), _RUNS), "runs")
     best = (F.max if keep == "max" else F.min)("keep_id")
     over = rows.where("edge and head").groupBy(F.col("sha").alias("_sha")).agg(best.alias("_keep"), F.sum("group_size").alias("_size"))
     rows = rows.join(F.broadcast(over), F.col("edge") & (F.col("sha") == F.col("_sha")), "left")

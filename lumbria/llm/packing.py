@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 from .slots import with_slots
-from .textcols import id_out, pick, small_batches
+from .textcols import id_out, pick, small_batches, trimmed
 
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a worker keeps; the memory is emptied when it is full.
-MEMORY = 300_000
+MEMORY = 100_000
 
 #: The pre-tokens of lower-case texts within Latin-1, as the vocabulary file's pattern has them.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
@@ -156,9 +156,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     empty table gives no piece. with_ids adds ids, little-endian unsigned 32-bit. vocabulary: a file's path that all
     executors have, else the installed public one.
     """
-    small_batches(docs, 256)
+    small_batches(docs)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = materialised(pick(docs, id_col, text_col).mapInArrow(_pieces(vocabulary, capacity, end_id, with_ids), kind), "pieces")
+    pieces = materialised(pick(docs, id_col, text_col).mapInArrow(trimmed(_pieces(vocabulary, capacity, end_id, with_ids)), kind), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = _Layout(fill(counts, capacity))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialised, release
-from .textcols import blocks, flat, id_out, pick, small_batches
+from .textcols import blocks, flat, id_out, pick, small_batches, trimmed
 from .tokens import _VALUE, mixed, span_hashes
 
 MATCH = 200
@@ -198,13 +198,22 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int = MATCH) ->
     return order[wanted[order]]
 
 
+def common_prefixes(x: np.ndarray, order: np.ndarray, match: int = MATCH) -> np.ndarray:
+    """Length of the common prefix of each suffix in order and its neighbour, in whole words of eight bytes, up to match.
+    x: the words that begin at each place."""
+    out = np.full(max(0, len(order) - 1), match, np.int16)
+    pair = np.arange(len(out))
+    for k in range(0, match, 8):
+        same = x[order[pair] + k] == x[order[pair + 1] + k]
+        out[pair[~same]] = k
+        pair = pair[same]
+    return out
+
+
 def repeated(data: np.ndarray, wanted: np.ndarray, match: int = MATCH) -> np.ndarray:
     """Which wanted places begin a string of match bytes that another wanted place begins too."""
     order = two_stage_order(data, wanted, match)
-    x = _words(np.append(data, np.zeros(match + 8, np.uint8)))
-    pair = np.arange(len(order) - 1) if len(order) else np.zeros(0, np.int64)
-    for k in [*range(0, match - 7, 8), *([match - 8] if match % 8 else [])]:
-        pair = pair[x[order[pair] + k] == x[order[pair + 1] + k]]
+    pair = np.flatnonzero(common_prefixes(_words(np.append(data, np.zeros(match + 8, np.uint8))), order, match) >= match)
     out = np.zeros(len(data), bool)
     out[order[pair]] = out[order[pair + 1]] = True
     return out
@@ -295,9 +304,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if match % 8 or match < GRAM + 8:
         raise ValueError("match: a multiple of 8, at least 40")
-    small_batches(docs, 256)
+    small_batches(docs)
     d = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    a = d.mapInArrow(_anchors(match), "doc_id long, th long, p int, c int, key long, h long")
+    a = d.mapInArrow(trimmed(_anchors(match)), "doc_id long, th long, p int, c int, key long, h long")
     many = materialised(a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "anchors")
     release(docs.sparkSession)
     some = materialised(a.join(many, "key", "left_semi"), "runs")
@@ -307,11 +316,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = kinds.groupBy("key").agg((F.count(F.lit(1)) > HOT_RUNS).alias("hot"))
     ask = kinds.join(per, "key").select("at.doc_id", "at.th", F.struct("at.p", "at.c", "key", "h", "hot", (F.col("n") > 1).alias("twice")).alias("run"))
     ask = ask.groupBy("doc_id", "th").agg(F.collect_list("run").alias("asked"))
-    raw = d.join(ask.hint("shuffle_hash"), ["doc_id", "th"]).select("text", "asked").mapInArrow(_pieces(match), "group long, key long, h long, at int, raw binary, twice boolean")
-    verdict = raw.repartition("group").sortWithinPartitions("group", "raw").mapInArrow(_judged(match), "key long, h long, s array<int>, n array<int>")
+    raw = d.join(ask.hint("shuffle_hash"), ["doc_id", "th"]).select("text", "asked").mapInArrow(trimmed(_pieces(match)), "group long, key long, h long, at int, raw binary, twice boolean")
+    verdict = raw.repartition("group").sortWithinPartitions("group", "raw").mapInArrow(trimmed(_judged(match)), "key long, h long, s array<int>, n array<int>")
     spans = some.join(verdict, ["key", "h"]).select("doc_id", "th", F.transform(F.arrays_zip("s", "n"), lambda x: F.struct((x["s"] + F.col("p")).alias("s"), x["n"].alias("n"))).alias("r"))
     spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("r"))
-    out = d.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "r").mapInArrow(_cut(match), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = d.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "r").mapInArrow(trimmed(_cut(match)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", id_out(F.col("doc_id")))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,35 @@ def blocks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> None:
-    """Arrow batches of few rows: long texts must not pile up in a Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bounds of every Arrow batch of this subpackage, by rows and by bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 1 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of bounded bytes: long texts must not pile up in a Python worker. All operators ask for the same
+    bounds, so that a result that is run later has them whichever was built last."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """What a task has freed goes back to the system: Python workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f with give_back() at the end of each task."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run

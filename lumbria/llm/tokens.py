@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textcols import lowered
-
 _RNG = np.random.default_rng(20240117)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -13,16 +11,20 @@ _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _POW: dict[int, np.ndarray] = {}
 
 
+#: Longest table of powers that a worker keeps.
+_KEEP = 1 << 17
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _POW.get(int(base))
     if have is None or len(have) <= n:
-        full = np.full(max(n, 1 << 20) + 1, base, np.uint64)
+        full = np.full(max(n, _KEEP) + 1, base, np.uint64)
         full[0] = 1
         with np.errstate(over="ignore"):
-            have = _POW[int(base)] = np.multiply.accumulate(full)
-        if n > 1 << 23:
-            del _POW[int(base)]
+            have = np.multiply.accumulate(full)
+        if len(have) <= _KEEP + 1:
+            _POW[int(base)] = have
     return have[: n + 1]
 
 
@@ -49,12 +51,12 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
 
-def word_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts data[off[i]:off[i + 1]], in order, and len(off) token offsets by text."""
-    low = lowered(data)
+def word_spans(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of the lower-cased texts low[off[i]:off[i + 1]], and token offsets by text."""
     w = WORD[low]
     if not w.any():
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(off), np.int64)
     edge = np.zeros(len(low) + 1, bool)
     edge[off] = True
     s = w.copy()
@@ -62,4 +64,4 @@ def word_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     e = w.copy()
     e[:-1] &= ~w[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(s), np.flatnonzero(e) + 1
-    return span_hashes(_VALUE[low], starts, ends), np.searchsorted(starts, off)
+    return span_hashes(_VALUE[low], starts, ends), starts, ends, np.searchsorted(starts, off)
