@@ -16,8 +16,8 @@ from lumbria.session import materialised, ready
 
 #: A document with this score or more is rejected.
 TOXIC = 0.3
-#: Near copies: words a shingle and bits of the candidates' fingerprints, and the least Jaccard similarity of a pair.
-NEAR_WORDS, NEAR_BITS, LEAST_ALIKE = 3, 6, 0.8
+#: Near copies: words of a shingle and the least Jaccard similarity of a pair.
+NEAR_WORDS, LEAST_ALIKE = 5, 0.8
 #: SQL has neither the kernel machine nor XXH64; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
@@ -49,14 +49,14 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that near pairs connect, the row with the smallest id, then hash. Pairs are found by
-    SimHash within NEAR_BITS and count if they share LEAST_ALIKE of their five-word shingles."""
+    """Of each class of documents that near pairs connect, the row with the smallest id, then hash. Pairs are proposed by
+    SimHash fingerprints of their words and shingles and count if they share LEAST_ALIKE of their five-word shingles."""
     ready(spark)
-    rows = materialised(simhash.fingerprints(docs, words=NEAR_WORDS), "prints")
-    near = simhash.components(rows.select("fp").distinct(), NEAR_BITS)
-    # Texts of one fingerprint are candidates too, whether or not it is linked to others.
-    found = rows.join(near, "fp", "left").select("doc_id", "th", F.coalesce("component", "fp").alias("component"))
-    same = simhash.verified(docs, materialised(found, "found"), 5, LEAST_ALIKE)
+    rows = materialised(simhash.near_prints(docs, words=NEAR_WORDS), "prints")
+    near = simhash.near_components(rows)
+    # Texts of equal fingerprints are candidates too, whether or not they are linked to others.
+    found = rows.join(near, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component"))
+    same = simhash.verified(docs, materialised(found, "found"), NEAR_WORDS, LEAST_ALIKE)
     best = rows.join(same, "th", "left").groupBy(F.coalesce("class", "th")).agg(F.min(F.struct("doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias(_ID), F.col("b.th").alias(_TH))
     return _named(docs).join(best, [_ID, _TH], "left_semi").dropDuplicates([_ID, _TH]).select(*docs.columns)
 

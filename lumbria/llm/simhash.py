@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
-from ..session import materialised
-from .textcols import ASCII_LOWER, id_out, pick, small_batches
+from ..session import materialised, release
+from .textcols import ASCII_LOWER, give_back, id_out, pick, small_batches, trimmed
+from .tokens import mixed
 
 SEED = 42
 #: Blocks of bits that a key needs unchanged, and pivots besides the common one that a block has.
 SAME, PER_BLOCK = 3, 8
+#: Near copies by words: so many fingerprints of a text's set of words, two of which lie within so many bits; and the
+#: bits within which the fingerprints of their five-word shingles lie.
+WORD_PRINTS, WORD_BITS, SHINGLE_BITS = 4, 4, 18
 #: Buckets with more fingerprints than this are dealt anew by a second table of pivots.
-LARGE = 512
+LARGE = 4096
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -53,21 +57,58 @@ def _prints(words: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, th, fp) for every row, th being a hash of the text; a null text is empty and has fingerprint 0."""
     small_batches(docs)
-    return pick(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(_prints(words), "doc_id long, th long, fp long")
+    return pick(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(trimmed(_prints(words)), "doc_id long, th long, fp long")
+
+
+def word_prints(text: bytes, count: int = WORD_PRINTS) -> list[int]:
+    """Majority bits over the hashes of the distinct words, under so many independent hashes; zeros without words.
+
+    One changed word moves one element of this set but five of the five-word shingles, so that texts which share four
+    fifths of their shingles differ in few bits here.
+    """
+    words = set(text.translate(ASCII_LOWER).split())
+    if not words:
+        return [0] * count
+    h = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    out = []
+    for k in range(count):
+        g = mixed(h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(g), 1 << 14):
+            ones += np.unpackbits(g[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(g), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def _near_prints(words: int):
+    names = ["doc_id", "th", *(f"w{k}" for k in range(WORD_PRINTS)), "s"]
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            cols = [*zip(*(word_prints(t) for t in texts), strict=True)] or [()] * WORD_PRINTS
+            cols.append([fingerprint(t, words) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols)], names=names)
+
+    return run
 
 
 class Pivots:
     """Reference fingerprints: a random common one, and for each block of bits variants of it that differ in the block.
 
     The distances to a variant and to the common pivot differ by an amount that only the block's bits decide. Two
-    fingerprints within `distance` bits agree on all but `distance` blocks of SAME + distance, and so in all those
-    differences over some SAME blocks: these make the keys. Over the whole table, no coordinate of such a pair differs
+    fingerprints within `distance` bits agree on all but `distance` blocks of same + distance, and so in all those
+    differences over some `same` blocks: these make the keys. Over the whole table, no coordinate of such a pair differs
     by more than `distance`, by the triangle inequality.
     """
 
-    def __init__(self, distance: int, seed: int):
+    #: Pairs that are looked at together.
+    PAIRS = 1 << 19
+
+    def __init__(self, distance: int, seed: int, same: int = SAME):
         rng = np.random.default_rng(seed)
-        self.distance, self.blocks = distance, SAME + distance
+        self.distance, self.same, self.blocks = distance, same, same + distance
         bits = rng.permutation(64)
         self.common = int(rng.integers(0, 2**63, dtype=np.uint64)) << 1 | 1
         self.variants: list[list[int]] = []
@@ -79,51 +120,69 @@ class Pivots:
             self.variants.append(masks)
         self.all = np.array([self.common, *(m for b in self.variants for m in b)], np.uint64)
 
-    def keys(self, fp):
-        """Array column of one key per choice of SAME blocks."""
-        to = lambda m: F.bit_count(fp.bitwiseXOR(F.lit(m - 2**64 if m >= 2**63 else m)))
-        base = to(self.common)
-        sig = [F.xxhash64(*(to(m) - base for m in b)) for b in self.variants]
-        return F.array(*(F.xxhash64(F.lit(n), *(sig[b] for b in c)) for n, c in enumerate(combinations(range(self.blocks), SAME))))
+    def keys(self, fp: np.ndarray) -> np.ndarray:
+        """(fingerprints, keys): one key per choice of `same` blocks, from the differences of distances there."""
+        combos = list(combinations(range(self.blocks), self.same))
+        table = np.bitwise_count(fp[:, None] ^ self.all).astype(np.int8)
+        sig = np.ascontiguousarray(table[:, 1:] - table[:, :1]).view(np.uint64)
+        out = np.empty((len(fp), len(combos)), np.uint64)
+        with np.errstate(over="ignore"):
+            for n, c in enumerate(combos):
+                h = np.full(len(fp), n, np.uint64)
+                for k in c:
+                    h = mixed((h ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15))
+                out[:, n] = h
+        return out
 
     def key_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(fp, node) to (fp, node, key), as keys() deals them but for the hash; for distances with many keys."""
-        combos = list(combinations(range(self.blocks), SAME))
-        with np.errstate(over="ignore"):
-            for b in batches:
-                fp = b.column(0).to_numpy()
-                table = np.bitwise_count(fp.view(np.uint64)[:, None] ^ self.all).astype(np.int8)
-                sig = np.ascontiguousarray(table[:, 1:] - table[:, :1]).view(np.uint64)
-                out = np.empty((len(fp), len(combos)), np.uint64)
-                for n, c in enumerate(combos):
-                    h = np.full(len(fp), n, np.uint64)
-                    for k in c:
-                        h = (h ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                        h ^= h >> np.uint64(32)
-                    out[:, n] = h
-                wide = lambda x: pa.array(np.repeat(x, len(combos)))
-                yield pa.RecordBatch.from_arrays([wide(fp), wide(b.column(1).to_numpy()), pa.array(out.ravel().view(np.int64))], names=["fp", "node", "key"])
-
-    def linked(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs within the distance: coordinate 0 sorted and windowed, then the maximum over all others, then bits."""
+        """(fp, s, node, key) with key null or a first key, to a row per key of keys(), joined to the first key."""
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                keys = self.keys(part.column(0).to_numpy().view(np.uint64))
+                n = keys.shape[1]
+                if part.column(3).null_count == 0:
+                    keys = mixed(keys ^ mixed(part.column(3).to_numpy().view(np.uint64))[:, None])
+                wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), n))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([wide(0), wide(1), wide(2), pa.array(keys.ravel().view(np.int64))], names=["fp", "s", "node", "key"])
+
+    def forest(self, fp: np.ndarray, bucket: np.ndarray, known: np.ndarray, second: np.ndarray | None = None, apart: int = 64) -> np.ndarray:
+        """Of each fingerprint the smallest index that links within its bucket reach: those within the distance, and
+        within `apart` bits of the second fingerprints. bucket: ascending numbers; known: the smallest index that each is
+        connected to beforehand. Coordinate 0 is sorted and windowed, then all other coordinates are compared, then the
+        bits; pairs that are connected already are left out first, so that a group of copies costs no pairs."""
         table = np.bitwise_count(fp[:, None] ^ self.all).astype(np.int8)
-        order = np.argsort(table[:, 0], kind="stable")
-        fp, table = fp[order], table[order]
-        out_a, out_b = [], []
-        reach = np.searchsorted(table[:, 0], table[:, 0] + self.distance, side="right")
-        for s in range(0, len(fp), 256):
-            e = min(s + 256, len(fp))
-            n = reach[s:e] - np.arange(s, e) - 1
-            a = np.repeat(np.arange(s, e), n)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+        place = bucket.astype(np.int64) * 256 + table[:, 0]
+        order = np.argsort(place, kind="stable")
+        fp, table, place, n = fp[order], table[order], place[order], len(fp)
+        second = None if second is None else second[order]
+        at = np.empty(n, np.int64)
+        at[order] = np.arange(n)
+        lab = at[known[order]]
+        ahead = np.searchsorted(place, place + self.distance, side="right") - np.arange(n) - 1
+        total = np.r_[0, np.cumsum(ahead)]
+        s = 0
+        while s < n:
+            e = max(s + 1, int(np.searchsorted(total, total[s] + self.PAIRS, side="right")) - 1)
+            m = ahead[s:e]
+            a = np.repeat(np.arange(s, e), m)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + a + 1
+            new = lab[a] != lab[b]
+            a, b = a[new], b[new]
             for c in range(1, table.shape[1]):
                 near = np.abs(table[a, c] - table[b, c]) <= self.distance
                 a, b = a[near], b[near]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= self.distance
-            out_a.append(order[a[near]])
-            out_b.append(order[b[near]])
-        return np.concatenate(out_a), np.concatenate(out_b)
+            if second is not None:
+                near &= np.bitwise_count(second[a] ^ second[b]) <= apart
+            if near.any():
+                lab = _labels(n, lab[a[near]], lab[b[near]])[lab]
+            s = e
+        low = np.full(n, n)
+        np.minimum.at(low, lab, order)
+        out = np.empty(n, np.int64)
+        out[order] = low[lab]
+        return out
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,60 +201,88 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def _edges(pivots: Pivots):
+def _edges(pivots: Pivots, apart: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-        def of(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            src, dst = [], []
-            cut = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e - s > 1:
-                    order = np.argsort(node[s:e], kind="stable")
-                    own = node[s:e][order]
-                    lab = _labels(e - s, *pivots.linked(fp[s:e][order].view(np.uint64)))
-                    moved = np.flatnonzero(lab != np.arange(e - s))
-                    src.append(own[moved])
-                    dst.append(own[lab[moved]])
-            empty = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *src])), pa.array(np.concatenate([empty, *dst]))], names=["src", "dst"])
+        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+
+        def of(key: np.ndarray, fp: np.ndarray, second: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            """Edges of whole buckets, all at once; buckets of one are left out."""
+            same = np.r_[False, key[1:] == key[:-1]]
+            many = np.flatnonzero(same | np.r_[same[1:], False])
+            key, fp, second, node = key[many], fp[many].view(np.uint64), second[many].view(np.uint64), node[many]
+            bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else key
+            order = np.lexsort((node, bucket))
+            node = node[order]
+            new = np.r_[True, (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])] if len(node) else np.zeros(0, bool)
+            known = np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))
+            lab = pivots.forest(fp[order], bucket, known, second[order] if apart < 64 else None, apart)
+            moved = np.flatnonzero(new & (node != node[lab]))
+            return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[lab[moved]])], names=["src", "dst"])
 
         for b in batches:
             cols = [np.concatenate([k, b.column(c).to_numpy()]) for c, k in enumerate(kept)]
             if not len(cols[0]):
                 continue
             last = np.searchsorted(cols[0], cols[0][-1])
-            yield of(*(c[:last] for c in cols))
+            if last:
+                yield of(*(c[:last] for c in cols))
             kept = [c[last:] for c in cols]
         yield of(*kept)
 
     return run
 
 
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges (src, dst) that connect all fingerprints within distance of one another.
+_KEYED = "fp long, s long, node long, key long"
+
 
-    prints: distinct (fp, node). Keys of Pivots bring together what may be linked. A bucket is searched by its pivot
-    table and gives a spanning forest, not its pairs. Buckets of over LARGE fingerprints are dealt anew by the keys of
-    a second table over other blocks, which is exact as well: fingerprints are distinct and two keys fix most of their
-    bits, so no bucket grows with the input beyond that.
+def links(prints: DataFrame, distance: int = 2, same: int = SAME, apart: int = 64) -> DataFrame:
+    """Edges (src, dst) that connect all fingerprints within distance of one another, and within apart bits of one
+    another's second fingerprints where prints have a column s.
+
+    prints: (fp, node), with s if apart is under 64; rows of one node are connected already, and no edge says so. Keys of Pivots bring together what may be linked. A bucket
+    is searched by its pivot table and gives a spanning forest, not its pairs. Buckets of over LARGE fingerprints are
+    dealt anew by the keys of a second table over other blocks, which is exact as well: fingerprints are distinct and
+    two keys fix most of their bits, so no bucket grows with the input beyond that. Which side of LARGE a bucket is on
+    decides the way, never the result. Keys are computed twice, to be counted and to be dealt, and not written.
     """
-    first, second = Pivots(distance, 1), Pivots(distance, 2)
-    if distance > 2:
-        keyed = prints.select("fp", "node").mapInArrow(first.key_rows, "fp long, node long, key long")
-    else:
-        keyed = prints.select("fp", "node", F.explode(first.keys(F.col("fp"))).alias("key"))
-    rows = materialised(keyed, "keys")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(many, "key")
-    again = rows.where(F.col("n") > LARGE)
-    if distance > 2:
-        dealt = again.select("fp", "node").distinct().mapInArrow(second.key_rows, "fp long, node long, key long").select(F.col("fp"), F.col("key").alias("k2"))
-        again = again.join(dealt, "fp").select(F.xxhash64("key", "k2").alias("key"), "fp", "node")
-    else:
-        again = again.select("fp", "node", "key", F.explode(second.keys(F.col("fp"))).alias("k2")).select(F.xxhash64("key", "k2").alias("key"), "fp", "node")
-    rows = rows.where(F.col("n") <= LARGE).select("key", "fp", "node").unionByName(again)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(first), "src long, dst long")
+    first, second = Pivots(distance, 1, same), Pivots(distance, 2, same)
+    plain = prints.select("fp", (F.col("s") if apart < 64 else F.lit(0).cast("long")).alias("s"), "node", F.lit(None).cast("long").alias("key"))
+    rows = plain.mapInArrow(trimmed(first.key_rows), _KEYED)
+    large = materialised(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE), "large")
+    rows = rows.join(large, "key", "left")
+    again = rows.where("n IS NOT NULL").select("fp", "s", "node", "key").mapInArrow(trimmed(second.key_rows), _KEYED)
+    rows = rows.where("n IS NULL").select("key", "fp", "s", "node").unionByName(again)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(first, apart), "src long, dst long")
+
+
+def near_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(doc_id, th, w0.., s, node) for every row: fingerprints of the set of words and of the shingles, and their hash."""
+    small_batches(docs)
+    kind = ", ".join(["doc_id long, th long", *(f"w{k} long" for k in range(WORD_PRINTS)), "s long"])
+    rows = pick(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(_near_prints(words), kind)
+    return rows.withColumn("node", F.xxhash64(*(f"w{k}" for k in range(WORD_PRINTS)), "s"))
+
+
+def near_components(prints: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of near_prints() that links connect: some two fingerprints of the words within
+    WORD_BITS, those of the shingles within SHINGLE_BITS.
+
+    The second condition is why chance doesn't connect a large corpus: unlike texts of one topic may have like words,
+    but of 64 bits of their shingles about 32 differ. The first fingerprints are linked alone; the others only link what
+    these have left apart, so that a large group is found once and not again by each.
+    """
+    nodes = materialised(prints.select(*(f"w{k}" for k in range(WORD_PRINTS)), "s", "node").distinct(), "nodes")
+    linked = lambda d, k, node: materialised(links(d.select(F.col(f"w{k}").alias("fp"), "s", F.col(node).alias("node")), WORD_BITS, 2, SHINGLE_BITS).distinct(), "links")
+    first = connected_components(linked(nodes, 0, "node"))
+    nodes = materialised(nodes.join(first, "node", "left").withColumn("so_far", F.coalesce("component", "node")), "nodes")
+    out = None
+    for k in range(1, WORD_PRINTS):
+        release(prints.sparkSession)
+        e = linked(nodes, k, "so_far")
+        out = e if out is None else out.unionByName(e)
+    then = connected_components(out).select(F.col("node").alias("so_far"), F.col("component").alias("last"))
+    return nodes.join(then, "so_far", "left").where("component IS NOT NULL OR last IS NOT NULL").select("node", F.coalesce("last", "so_far").alias("component"))
 
 
 def components(nodes: DataFrame, distance: int = 2) -> DataFrame:
@@ -249,41 +336,92 @@ def _like_first(least: float):
     return run
 
 
+def _connected(left: list[tuple[int, bytes]], others: list[tuple[int, bytes]], known: list[int], least: float) -> tuple[list[int], list[int]]:
+    """Edges from left's texts to others, as a forest: of texts that are connected already no pair is compared. known:
+    texts that are connected beforehand, as all of them are like the first of their class."""
+    up = dict.fromkeys(known, known[0]) if known else {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    sets = {th: frozenset(np.frombuffer(s, np.uint64).tolist()) for th, s in (*left, *others)}
+    src, dst = [], []
+    for th, _ in left:
+        x = sets[th]
+        for o, _ in others:
+            y = sets[o]
+            if min(len(x), len(y)) < least * max(len(x), len(y)) or (a := root(th)) == (b := root(o)):
+                continue
+            both = len(x & y)
+            if both >= least * (len(x) + len(y) - both):
+                up[a] = b
+                src.append(th)
+                dst.append(o)
+    return src, dst
+
+
 def _like_rest(least: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        src, dst = [], []
-        others = list(zip(right["th"].to_pylist(), right["s"].to_pylist(), strict=True))
-        for th, s in zip(left["th"].to_pylist(), left["s"].to_pylist(), strict=True):
-            for o, so in others:
-                if o != th and alike(s, so, least):
-                    src.append(th)
-                    dst.append(o)
+        rows = lambda t: list(zip(t["th"].to_pylist(), t["s"].to_pylist(), strict=True))
+        src, dst = _connected(rows(left), rows(right), [o for o, ok in zip(right["th"].to_pylist(), right["ok"].to_pylist(), strict=True) if ok], least)
+        give_back()
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
 
 
+def _like_small(least: float):
+    """_like_rest for whole classes that follow one another."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[int, bytes, bool]] = []
+        now = None
+
+        def edges() -> tuple[list[int], list[int]]:
+            return _connected([x[:2] for x in own if not x[2]], [x[:2] for x in own], [x[0] for x in own if x[2]], least)
+
+        for b in batches:
+            src, dst = [], []
+            for component, *row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if component != now:
+                    for col, more in zip((src, dst), edges(), strict=True):
+                        col.extend(more)
+                    own, now = [], component
+                own.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in edges()], names=["src", "dst"])
+
+    return run
+
+
 def verified(docs: DataFrame, found: DataFrame, words: int = 5, least: float = 0.8, block: int = 1 << 20) -> DataFrame:
     """(th, class) of the texts that Jaccard pairs connect within the classes of found (doc_id, th, component).
 
-    Texts like the first of their class need no look at one another. All others are compared with the whole class, in
-    blocks of so many bytes against blocks.
+    Texts like the first of their class need no look at one another. All others are compared with the whole class: at
+    once where it has at most `block` bytes of shingles, else in blocks against blocks; both give the same classes.
     """
     small_batches(docs)
     members = found.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id"))
     many = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("f")).where("n > 1")
     texts = pick(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     rows = texts.join(members.join(many.select("component"), "component"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    sets = materialised(rows.select("component", "doc_id", "th", "text").mapInArrow(_shingles(words), "component long, doc_id long, th long, s binary"), "shingles")
+    sets = materialised(rows.select("component", "doc_id", "th", "text").mapInArrow(trimmed(_shingles(words)), "component long, doc_id long, th long, s binary"), "shingles")
     first = sets.join(many.select("component", "f.*"), ["component", "doc_id", "th"]).select("component", F.col("th").alias("first"), F.col("s").alias("fs"))
     kind = "component long, doc_id long, th long, s binary, first long, ok boolean"
-    seen = materialised(sets.join(first, "component").select("component", "doc_id", "th", "s", "first", "fs").mapInArrow(_like_first(least), kind), "seen")
+    seen = materialised(sets.join(first, "component").select("component", "doc_id", "th", "s", "first", "fs").mapInArrow(trimmed(_like_first(least)), kind), "seen")
     parts = lambda d: F.ceil(F.sum(F.length("s") + 64) / block).cast("int").alias(d)
-    left = seen.where("not ok")
-    size = left.groupBy("component").agg(parts("a")).join(seen.groupBy("component").agg(parts("b")), "component")
-    deal = lambda d, n, other: d.join(size, "component").select(*(F.col(x).alias(x) for x in ("component", "th", "s")), F.pmod("th", n).cast("int").alias(f"_{n}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}"))
+    size = seen.groupBy("component").agg(F.count_if(~F.col("ok")).alias("n"), F.ceil(F.sum(F.when(~F.col("ok"), F.length("s") + 64)) / block).cast("int").alias("a"), parts("b")).where("n > 0")
+    small = seen.join(size.where("b = 1").select("component"), "component").select("component", "th", "s", "ok")
+    near = small.repartition("component").sortWithinPartitions("component").mapInArrow(_like_small(least), "src long, dst long")
+    large = size.where("b > 1")
+    deal = lambda d, n, other: d.join(large, "component").select(*(F.col(x).alias(x) for x in ("component", "th", "s", "ok")), F.pmod("th", n).cast("int").alias(f"_{n}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}"))
     key = ["component", "_a", "_b"]
-    rest = deal(left, "a", "b").groupBy(*key).cogroup(deal(seen, "b", "a").groupBy(*key)).applyInArrow(_like_rest(least), "src long, dst long")
+    rest = deal(seen.where("not ok"), "a", "b").groupBy(*key).cogroup(deal(seen, "b", "a").groupBy(*key)).applyInArrow(_like_rest(least), "src long, dst long")
+    rest = rest.unionByName(near)
     edges = seen.where("ok").select(F.col("th").alias("src"), F.col("first").alias("dst")).unionByName(rest)
     return connected_components(materialised(edges, "alike")).select(F.col("node").alias("th"), F.col("component").alias("class"))
 
