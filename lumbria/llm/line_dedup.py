@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .textcols import ASCII_LOWER, NULL_ID, id_in, id_out, pick, small_batches
+from .textcols import ASCII_LOWER, NULL_ID, id_in, id_out, pick, small_batches, trimmed
 
 #: Stripped at both ends of a line.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_POINTS = 10
 SLOTS = 4
+#: Keys of a shard, above which shards are split; shards that a store has at least; batches that a store is built in.
+KEYS, SHARDS, BATCHES = 100_000, 64, 2
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -114,32 +116,34 @@ _STATE = "shard int, key binary, n_docs long, min_doc long, filter binary"
 def _merge(_key: tuple, old: pd.DataFrame, delta: pd.DataFrame) -> pd.DataFrame:
     """One shard's filter and exact table after a batch of signed reference counts.
 
-    Keys that the filter doesn't know are new without a look at the table; all others are counted there exactly.
-    min_doc of a key that lost documents is recomputed by the caller; here it is taken from the delta if given.
+    Keys that the filter doesn't know are new without a look at the table; only the others are looked up there. Whatever
+    enters the table enters the filter, keys that it wrongly knew included, and only what leaves the table leaves it.
+    Where delta says reset, its min_doc takes the place of the table's. Taking away what isn't there changes nothing.
     """
     shard = int((delta if len(delta) else old)["shard"].iloc[0])
     blob = old["filter"].dropna()
     table = old[old["key"].notna()]
-    known = CuckooFilter.load(blob.iloc[0]).contains(_half(delta["key"])) if len(blob) and len(delta) else np.zeros(len(delta), bool)
-    fresh, rest = delta[~known], delta[known]
-    merged = table.merge(rest, on="key", how="outer", suffixes=("", "_d")) if len(rest) else table
-    if len(rest):
-        n = merged["n_docs"].fillna(0) + merged["n_docs_d"].fillna(0)
-        low = np.where(merged["reset"].fillna(False).astype(bool), merged["min_doc_d"], np.fmin(merged["min_doc"].fillna(NULL_ID), merged["min_doc_d"].fillna(NULL_ID)))
-        merged = pd.DataFrame({"key": merged["key"], "n_docs": n.astype("int64"), "min_doc": pd.Series(low).fillna(NULL_ID).astype("int64")})
-    gone = merged[merged["n_docs"] <= 0]
-    out = pd.concat([merged[merged["n_docs"] > 0][["key", "n_docs", "min_doc"]], fresh[["key", "n_docs", "min_doc"]]], ignore_index=True)
     c = CuckooFilter.load(blob.iloc[0]) if len(blob) else None
+    known = c.contains(_half(delta["key"])) if c is not None and len(delta) else np.zeros(len(delta), bool)
+    maybe = np.flatnonzero(known)
+    at = pd.Index(table["key"], dtype=object).get_indexer(delta["key"].iloc[maybe]) if len(maybe) else np.zeros(0, np.int64)
+    n, low = table["n_docs"].to_numpy(np.int64, copy=True), table["min_doc"].to_numpy(np.int64, copy=True)
+    dn, dlow = delta["n_docs"].to_numpy(np.int64), delta["min_doc"].to_numpy(np.int64)
+    met, place = maybe[at >= 0], at[at >= 0]
+    n[place] += dn[met]
+    low[place] = np.where(delta["reset"].to_numpy(bool)[met], dlow[met], np.minimum(low[place], dlow[met]))
+    new = np.ones(len(delta), bool)
+    new[met] = False
+    new &= dn > 0
+    stay = n > 0
+    keys = [*table["key"][stay], *delta["key"][new]]
     if c is not None:
-        # Keys that the filter wrongly knew are as new as those it didn't know.
-        new = pd.concat([fresh["key"], rest["key"][~rest["key"].isin(table["key"])]])
-        c = c if c.insert(_half(new)) else None
+        c = c if c.insert(_half(delta["key"][new])) else None
         if c is not None:
-            c.delete(_half(gone["key"]))
-    c = c or _built(out["key"])
-    out = out.assign(shard=shard, filter=None)
-    head = pd.DataFrame({"shard": [shard], "key": [None], "n_docs": [0], "min_doc": [0], "filter": [c.dump()]})
-    return pd.concat([head, out[head.columns]], ignore_index=True)
+            c.delete(_half(table["key"][~stay]))
+    c = c or _built(pd.Series(keys, dtype=object))
+    none = [None] * len(keys)
+    return pd.DataFrame({"shard": shard, "key": [None, *keys], "n_docs": np.r_[0, n[stay], dn[new]], "min_doc": np.r_[0, low[stay], dlow[new]], "filter": [c.dump(), *none]})
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,54 +171,68 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineStore:
     """Line references of a growing and shrinking set of documents.
 
-    Held as two tables in the shared folder: postings (key, doc_id, shard), the exact references, and state, per shard
-    a cuckoo filter and the exact table key -> (documents, smallest document). Keys are dealt to shards by hash, and
-    reference counts are aggregated before they are dealt, so a line that a third of all documents hold is one row.
-    insert() and delete() return a new store; the older one stays valid, and deleting what was inserted restores it.
+    Held as two tables in the shared folder: postings (key, doc_id), the exact references, and state, per shard a cuckoo
+    filter and the exact table key -> (documents, smallest document). Keys are dealt to shards by hash, and reference
+    counts are aggregated before they are dealt, so a line that a third of all documents hold is one row. A store is
+    built by inserting its documents in batches. insert() and delete() return a new store; the older one stays valid, and
+    deleting what was inserted restores it. Shards are split in two as often as their keys outgrow keys_per_shard.
     A document is its id: rows that repeat an id are one holder. A null id counts as the largest. Null text: one empty
     line. Empty tables give empty stores.
     """
 
-    def __init__(self, postings: DataFrame, state: DataFrame, shards: int):
-        self.postings, self.state, self.shards = postings, state, shards
+    def __init__(self, postings: DataFrame, state: DataFrame, shards: int, keys_per_shard: int = KEYS):
+        self.postings, self.state, self.shards, self.keys_per_shard = postings, state, shards, keys_per_shard
 
     @classmethod
-    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = 100_000) -> LineStore:
-        small_batches(docs)
-        spark, postings = docs.sparkSession, materialised(cls._found(docs, id_col, text_col), "lines")
-        shards = 1 << max(0, int(np.ceil(np.log2(max(1, postings.count()) / keys_per_shard))))
-        postings = postings.withColumn("shard", _shard(shards))
-        empty = spark.createDataFrame([], _STATE)
-        return cls(postings, cls._next(empty, cls._gained(postings)), shards)
+    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS, batches: int = BATCHES) -> LineStore:
+        postings = materialised(cls._found(docs, id_col, text_col), "lines")
+        store = cls(postings.limit(0), docs.sparkSession.createDataFrame([], _STATE), SHARDS, keys_per_shard)
+        for k in range(batches):
+            store = store._with(postings.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        return cls(postings, store.state, store.shards, keys_per_shard)
 
     @staticmethod
     def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return pick(docs, id_col, text_col).mapInArrow(_postings, "doc_id long, key binary")
-
-    @staticmethod
-    def _gained(postings: DataFrame) -> DataFrame:
-        pairs = postings.select("shard", "key", "doc_id").distinct()
-        return pairs.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc")).withColumn("reset", F.lit(False))
-
-    @staticmethod
-    def _next(state: DataFrame, delta: DataFrame) -> DataFrame:
-        new = state.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(_merge, _STATE)
-        return materialised(new, "line-state")
+        small_batches(docs)
+        return pick(docs, id_col, text_col).mapInArrow(trimmed(_postings), "doc_id long, key binary")
+
+    def _next(self, delta: DataFrame) -> DataFrame:
+        delta = delta.withColumn("shard", _shard(self.shards))
+        return materialised(self.state.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(_merge, _STATE), "line-state")
+
+    def _with(self, new: DataFrame) -> LineStore:
+        """The store after references that it doesn't hold yet."""
+        gained = new.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc"))
+        out = LineStore(self.postings.unionByName(new), self._next(gained.withColumn("reset", F.lit(False))), self.shards, self.keys_per_shard)
+        return out._split()
+
+    def _split(self) -> LineStore:
+        """Twice as many shards, and again, until their keys are within bounds; filters are built anew."""
+        n = self.counts().count()
+        shards = self.shards
+        while n > shards * self.keys_per_shard:
+            shards *= 2
+        if shards == self.shards:
+            return self
+        empty = LineStore(self.postings, self.state.limit(0), shards, self.keys_per_shard)
+        return LineStore(self.postings, empty._next(self.counts().withColumn("reset", F.lit(False))), shards, self.keys_per_shard)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
-        """Documents not yet held are added; references that are held already stay as they are."""
-        new = self._found(docs, id_col, text_col).withColumn("shard", _shard(self.shards)).join(self.postings.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
-        new = materialised(new.select("doc_id", "key", "shard"), "lines")
-        return LineStore(self.postings.unionByName(new), self._next(self.state, self._gained(new)), self.shards)
+        """Documents not yet held are added; of documents that are, only references that are not held already."""
+        found = materialised(self._found(docs, id_col, text_col), "lines")
+        again = found.select("doc_id").distinct().join(self.postings.select("doc_id").distinct(), "doc_id")
+        first = found.join(again, "doc_id", "left_anti")
+        more = found.join(again, "doc_id", "left_semi").join(self.postings.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+        return self._with(materialised(first.unionByName(more), "lines"))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineStore:
         """Takes the references of these documents out; the smallest holder is found anew among those that stay."""
         gone = ids.select(id_in(ids[id_col]).alias("doc_id")).distinct()
-        left = materialised(self.postings.join(gone, "doc_id", "left_anti").select("doc_id", "key", "shard"), "lines")
-        lost = self.postings.join(gone, "doc_id", "left_semi").select("shard", "key", "doc_id").distinct().groupBy("shard", "key").agg((-F.count(F.lit(1))).alias("n_docs"))
-        low = left.join(lost.select(F.col("key")), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("min_doc"))
-        delta = lost.join(low, "key", "left").select("shard", "key", "n_docs", "min_doc", F.lit(True).alias("reset"))
-        return LineStore(left, self._next(self.state, delta), self.shards)
+        left = materialised(self.postings.join(gone, "doc_id", "left_anti").select("doc_id", "key"), "lines")
+        lost = self.postings.join(gone, "doc_id", "left_semi").select("key", "doc_id").distinct().groupBy("key").agg((-F.count(F.lit(1))).alias("n_docs"))
+        low = left.join(lost.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("min_doc"))
+        delta = lost.join(low, "key", "left").select("key", "n_docs", F.coalesce("min_doc", F.lit(NULL_ID)).alias("min_doc"), F.lit(True).alias("reset"))
+        return LineStore(left, self._next(delta), self.shards, self.keys_per_shard)
 
     def counts(self) -> DataFrame:
         return self.state.where("key is not null").select("key", "n_docs", "min_doc")
@@ -226,7 +244,7 @@ class LineStore:
         shared = self.counts().where(F.col("n_docs") >= min_docs)
         drops = self.postings.join(shared, "key").where("doc_id <> min_doc").select("doc_id", "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
         rows = pick(docs, id_col, text_col).join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "drop")
-        out = rows.mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, kept_text string")
+        out = rows.mapInArrow(trimmed(_cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
         return out.withColumn("doc_id", id_out(F.col("doc_id")))
 
 
