@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_index": warc.SQL_OP1,
         "op6_line_store": line_dedup.SQL_OP6,
         "op7_phrase_index": decontaminate.SQL_OP7,
         "op10_content_sort": exact_dedup.SQL_OP10,

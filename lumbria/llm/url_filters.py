@@ -58,53 +58,66 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 class Tree:
     """Parameters of the template tree.
 
-    A node's segment is variable if it has at least `kinds` values and these are at least `share` of its urls. A branch
-    with fewer than `labels` labelled urls, or whose share of good ones is within `z` standard errors of the node's, is
-    merged with its like. Purity is the share of good urls, smoothed by `weight` urls of the host's own smoothed purity,
-    which is smoothed by as many of the corpus's. Templates under `least` are rejected. Segments beyond `depth` are
-    one.
+    A branch stands apart if it has `labels` labelled urls or more and its share of good ones differs from that of its
+    siblings together by more than `z` standard errors. Of a node's branches, those that don't stand apart are one
+    wildcard, and those that do are one where their shares fall into the same of `bands` bands: they are alike, though
+    not like the rest. Variable segments, such as numbers, have few labels each and so are generalised; a large branch
+    of another kind among them is not. Purity is the share of good urls, smoothed by `weight` urls of the host's own
+    smoothed purity, which is smoothed by as many of the corpus's. Templates under `least` are rejected. Segments beyond
+    `depth` are one.
     """
 
-    kinds: int = 12
-    share: float = 0.2
     labels: int = 8
     z: float = 2.0
+    bands: int = 5
     weight: float = 4.0
     least: float = 0.5
     depth: int = 8
 
 
+#: Parts that the branches of one node are spread over, so that no task has all of a large node's.
+SPREAD = 16
+
+
 def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """urls (id, host, path, good 1/0/null) with a template each.
+    """(host, path, template, n, lab, fine) of the distinct paths of urls (host, path, good 1/0/null).
 
-    Level by level, urls are counted per (host, template so far, segment), the counts per (host, template); only the
-    decisions go back to the urls. Counts are aggregated before they are shuffled, so a host of a third of all urls is
-    as cheap as any.
+    Only distinct paths with their counts walk down the tree, level by level. At each, counts per (host, template so far,
+    segment) are compared with those of their node, and only the decisions go back to the paths.
     """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     tail = F.concat_ws("/", F.slice("_p", tree.depth, 1 << 20))
     segs = F.when(F.size("_p") > tree.depth, F.concat(F.slice("_p", 1, tree.depth - 1), F.array(tail))).otherwise(F.col("_p"))
-    rows = urls.withColumn("_p", parts).withColumn("segs", segs).drop("_p").withColumn("template", F.lit(""))
-    rows = materialised(rows, "urls")
+    rows = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"), F.coalesce(F.sum("good"), F.lit(0)).alias("fine"))
+    rows = materialised(rows.withColumn("_p", parts).withColumn("segs", segs).drop("_p").withColumn("template", F.lit("")), "paths")
     levels = rows.agg(F.max(F.size("segs"))).first()[0] or 0
     for d in range(levels):
         rows = rows.withColumn("seg", F.get("segs", F.lit(d)))
-        child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"), F.sum("good").alias("fine"))
-        child = _summed(child)
-        variable = (F.col("kinds") >= tree.kinds) & (F.col("kinds") >= tree.share * F.col("all"))
-        off = F.abs(F.col("fine") / F.col("lab") - F.col("p0")) > tree.z * F.sqrt(F.col("p0") * (1 - F.col("p0")) / F.col("lab"))
-        own = (F.col("lab") >= tree.labels) & off
-        child = child.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), F.when(variable | ~F.coalesce(own, F.lit(False)), F.lit("*")).otherwise(F.col("seg")).alias("_as"))
-        rows = rows.join(child, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
+        chosen = _branches(rows.where("seg IS NOT NULL"), tree)
+        rows = rows.join(chosen, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
         rows = rows.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_as"))).drop("_h", "_t", "_s", "_as", "seg")
-        rows = materialised(rows, "urls")
+        rows = materialised(rows, "paths")
     return rows.drop("segs")
 
 
-def _summed(child: DataFrame) -> DataFrame:
-    """Each branch with its node's counts, by a join: a node may have as many branches as there are urls."""
-    node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), ((F.sum("fine") + 1) / (F.sum("lab") + 2)).alias("p0"))
-    return child.join(node, ["host", "template"])
+def _branches(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(_h, _t, _s, _as): what each segment of each node is called in its paths' templates."""
+    child = rows.groupBy("host", "template", "seg").agg(F.sum("lab").alias("lab"), F.sum("fine").alias("fine")).withColumn("_x", F.pmod(F.xxhash64("seg"), F.lit(SPREAD)))
+    child = materialised(child, "branches")
+    part = child.groupBy("host", "template", "_x").agg(F.sum("lab").alias("l"), F.sum("fine").alias("f"))
+    node = part.groupBy("host", "template").agg(F.sum("l").alias("all_l"), F.sum("f").alias("all_f"))
+    node = part.select("host", "template", "_x").join(node, ["host", "template"])
+    lab, fine, l, f = F.col("lab"), F.col("fine"), F.col("all_l"), F.col("all_f")
+    pooled = (f + 1) / (l + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), lab) + F.try_divide(F.lit(1.0), l - lab)))
+    gap = F.abs(F.try_divide(fine, lab) - F.try_divide(f - fine, l - lab))
+    apart = (lab >= tree.labels) & (l > lab) & F.coalesce(gap > tree.z * error, F.lit(False))
+    band = F.least(F.floor(F.try_divide(fine, lab) * tree.bands), F.lit(tree.bands - 1))
+    child = child.join(node, ["host", "template", "_x"]).withColumn("band", F.when(apart, band))
+    alike = child.where("band IS NOT NULL").groupBy("host", "template", "band").agg(F.count(F.lit(1)).alias("k"))
+    child = child.select("host", "template", "seg", "band").join(alike, ["host", "template", "band"], "left")
+    name = F.when(F.col("band").isNull(), F.lit("*")).when(F.col("k") > 1, F.concat(F.lit("*"), F.col("band").cast("string"))).otherwise(F.col("seg"))
+    return child.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), name.alias("_as"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> DataFrame:
@@ -118,8 +131,9 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     lab = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(labels.columns[1]).alias("_g")).where("_id is not null").groupBy("_id").agg(F.min("_g").cast("int").alias("good"))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("_u"))
     rows = rows.select("id", url_host(url).alias("host"), url_path(url).alias("path")).join(lab, F.col("id") == F.col("_id"), "left").drop("_id")
-    rows = templates(rows, tree)
-    by_template = rows.groupBy("host", "template").agg(F.count("good").alias("lab"), F.coalesce(F.sum("good"), F.lit(0)).alias("fine"))
+    rows = materialised(rows, "urls")
+    paths = templates(rows, tree)
+    by_template = paths.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("fine").alias("fine"))
     by_host = by_template.groupBy("host").agg(F.sum("lab").alias("hl"), F.sum("fine").alias("hf"))
     all_l, all_f = by_host.agg(F.sum("hl"), F.sum("hf")).first()
     prior = ((all_f or 0) + 1) / ((all_l or 0) + 1)
@@ -127,7 +141,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     host_purity = (F.col("hf") + w * F.lit(min(prior, 1.0))) / (F.col("hl") + w)
     purity = (F.col("fine") + w * F.col("hp")) / (F.col("lab") + w)
     known = by_template.join(by_host.select(F.col("host"), host_purity.alias("hp")), "host").select(F.col("host").alias("_h"), F.col("template").alias("_t"), purity.alias("purity"), F.col("lab").alias("n_labelled"))
-    rows = rows.join(known, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
+    paths = paths.select("host", "path", "template").join(known, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t")
+    rows = rows.join(paths, ["host", "path"]).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     action = F.lit(None).cast("string")
     for r in rules:
         action = F.when(F.col("rule") == r.text, F.lit(r.action)).otherwise(action)

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialised, scratch
-from .textcols import id_in, id_out, small_batches
+from .textcols import id_in, id_out, small_batches, trimmed
 
 #: Ranges with at most so many bytes between them are one read, of at most so many bytes.
 GAP, READ = 64 << 10, 4 << 20
 #: A reading task has the records that begin within so many bytes of an archive.
-SLICE = 32 << 20
+SLICE = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "page_id long, url string, digest string, file string, offset long, length long"
@@ -99,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     many, are spread evenly, and a revisit's payload goes to no task of Python. A task that is run again writes a new
     file, and only files that the index names count. A null id counts as the largest.
     """
-    small_batches(pages, 256)
+    small_batches(pages)
     p = pages.select(id_in(pages[id_col]).alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("html"))
     p = p.withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     light = materialised(p.select("page_id", "sha", "size").distinct(), "digests")
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     later = light.join(first, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to")
     rows = p.join(later.hint("shuffle_hash"), ["page_id", "sha"], "left")
     rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "sha", "size", "refers_to")
-    return materialised(rows.mapInArrow(_written(folder), _INDEX), "cdx")
+    return materialised(rows.mapInArrow(trimmed(_written(folder)), _INDEX), "cdx")
 
 
 def ranges(places: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -148,9 +148,12 @@ def _read(folder: str, payloads: bool):
 
 def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the index rows in selected. Rows are dealt by file and slice, sorted by offset, and near ranges
-    are read at once; each record is unpacked alone, and a response's payload is held against its digest."""
-    at = selected.select("file", "offset", "length", F.floor(F.col("offset") / SLICE).alias("slice")).repartition("file", "slice").sortWithinPartitions("file", "offset")
-    out = at.mapInArrow(_read(folder, payloads), _RECORD)
+    are read at once; each record is unpacked alone, and a response's payload is held against its digest. There are as
+    many tasks as the records have slices of bytes: the index is small, and its own size says nothing of the reading."""
+    at = selected.select("file", "offset", "length", F.floor(F.col("offset") / SLICE).alias("slice"))
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // SLICE))
+    at = at.repartition(tasks, "file", "slice").sortWithinPartitions("file", "offset")
+    out = at.mapInArrow(trimmed(_read(folder, payloads)), _RECORD)
     return out.withColumn("page_id", id_out(F.col("page_id"))).withColumn("refers_to", id_out(F.col("refers_to")))
 
 
@@ -158,3 +161,13 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_records(index, folder, payloads=False).drop("payload", "url").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 by arithmetic: five hexadecimal digits are four of base 32.
+SQL_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '') AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""

@@ -103,12 +103,70 @@ def test_url_templates_reject_impure_branches(spark):
             labels.append((k, 0 if k % 3 == 0 else 1))
     p = spark.createDataFrame(rows, "page_id long, url string")
     got = url_filters.judge(p, spark.createDataFrame(labels, "id long, good int"), rules=()).collect()
-    assert {r.template for r in got} == {"/spam/*", "/news/*", "/blog/*"} or {r.verdict for r in got if "spam" in r.path} == {"block"}
+    assert {r.template for r in got} == {"/spam/*", "/*4/*"}
     assert all((r.verdict == "block") == ("spam" in r.path) for r in got)
     plan = url_filters.judge(p, spark.createDataFrame(labels, "id long, good int"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def tree_expected(urls, t):
+    """Templates, purity and verdict by the rules of Tree, over all urls at once."""
+    rows = [[k, host, [x for x in path.split("/") if x], good, ""] for k, host, path, good in urls]
+    for r in rows:
+        if len(r[2]) > t.depth:
+            r[2] = [*r[2][: t.depth - 1], "/".join(r[2][t.depth - 1 :])]
+    for d in range(max(len(r[2]) for r in rows)):
+        counts = collections.defaultdict(lambda: [0, 0])
+        for _, host, segs, good, tmpl in rows:
+            if len(segs) > d and good is not None:
+                for key in ((host, tmpl), (host, tmpl, segs[d])):
+                    counts[key][0] += 1
+                    counts[key][1] += good
+        band = {}
+        for host, tmpl, seg in {(r[1], r[4], r[2][d]) for r in rows if len(r[2]) > d}:
+            (lab, fine), (l, f) = counts[host, tmpl, seg], counts[host, tmpl]
+            if lab >= t.labels and l > lab:
+                p = (f + 1) / (l + 2)
+                if abs(fine / lab - (f - fine) / (l - lab)) > t.z * (p * (1 - p) * (1 / lab + 1 / (l - lab))) ** 0.5:
+                    band[host, tmpl, seg] = min(int(fine / lab * t.bands), t.bands - 1)
+        alike = collections.Counter((host, tmpl, b) for (host, tmpl, _), b in band.items())
+        for r in rows:
+            if len(r[2]) > d:
+                b = band.get((r[1], r[4], r[2][d]))
+                r[4] += "/" + ("*" if b is None else f"*{b}" if alike[r[1], r[4], b] > 1 else r[2][d])
+    n = collections.defaultdict(lambda: [0, 0])
+    for _, host, _, good, tmpl in rows:
+        for key in ((host, tmpl), (host,), ()):
+            n[key][0] += good is not None
+            n[key][1] += good or 0
+    prior = min((n[()][1] + 1) / (n[()][0] + 1), 1.0)
+    out = {}
+    for k, host, _, _, tmpl in rows:
+        hp = (n[(host,)][1] + t.weight * prior) / (n[(host,)][0] + t.weight)
+        purity = (n[host, tmpl][1] + t.weight * hp) / (n[host, tmpl][0] + t.weight)
+        out[k] = (tmpl, round(purity, 9), n[host, tmpl][0], "block" if purity < t.least else "allow")
+    return out
+
+
+def test_url_tree_against_brute_force(spark):
+    import random
+
+    r, urls = random.Random(8), []
+    for k in range(3000):
+        host = r.choice(["a.test"] * 6 + ["b.test", "c.test"])  # a host with most of all urls
+        kind = r.choice(["news", "blog", "shop", "spam", "scam", "u"])
+        path = "/" + "/".join([kind, *([str(k)] if r.random() < 0.7 else ["casino" if r.random() < 0.3 else "x"]), *(["p"] * r.randrange(9) if r.random() < 0.1 else [])])
+        bad = kind in ("spam", "scam") or "casino" in path
+        urls.append((k, host, path, None if r.random() < 0.4 else int(r.random() > (0.9 if bad else 0.1))))
+    urls += [(3000, "", "", None), (3001, "a.test", "", 1), (3002, "a.test", "//", 0)]
+    want = tree_expected(urls, url_filters.Tree())
+    p = spark.createDataFrame([(k, f"x://{h}{path}" if h else None, "t") for k, h, path, _ in urls], "page_id long, url string, template string")
+    lab = spark.createDataFrame([(k, g) for k, _, _, g in urls if g is not None], "id long, good int")
+    got = url_filters.judge(p, lab, rules=()).collect()
+    assert len(got) == len(urls) and {x.page_id: (x.template, round(x.purity, 9), x.n_labelled, x.verdict) for x in got} == want
+    assert {"/*0/*", "/*4/*"} & {w[0] for w in want.values()} and {v[3] for v in want.values()} == {"allow", "block"}
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -183,6 +241,19 @@ def test_packing(spark, capacity):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_fill_is_as_close_as_can_be():
+    """The first window of random multisets against all their subsets."""
+    import itertools
+    import random
+
+    r = random.Random(9)
+    for _ in range(60):
+        sizes = [r.randrange(1, 60) for _ in range(9)]
+        best = max(sum(c) + max(sizes) for n in range(9) for c in itertools.combinations(sorted(sizes)[:-1], n) if sum(c) + max(sizes) <= 64)
+        _, pattern = packing.fill(collections.Counter(sizes), 64)[0]
+        assert max(sizes) in pattern and sum(n * k for n, k in pattern.items()) == best
+
+
 def test_fill_uses_everything():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -196,6 +267,44 @@ def test_fill_uses_everything():
     assert packing.fill({4096: 10**12, 1: 10**15})[0] == (10**12, {4096: 1})
 
 
+def test_squeezed():
+    texts = [b"so a i.d.i.o.t is", b"x", b"", b"a b\nc d", b"U S A, a bc d e", "é i d i o t".encode(), b"a.b", b"1 2 3 a1b2c3"]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    data, at, where = toxicity.squeezed(np.frombuffer(b"".join(texts), np.uint8), off)
+    got = [data[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+    assert got == [b"so aidiot is", b"x", b"", b"a b\nc d", b"USAa bc d e", "é idiot".encode(), b"a.b", b"1 2 3 abc3"]
+    assert (np.frombuffer(b"".join(texts), np.uint8)[where] == data).all()
+
+
+def test_kernel_features_and_landmarks():
+    """window_scores() against the kernel as it is defined; half() of landmarks gives back the kernel among them."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 103, 60).astype(np.uint8))
+    weights = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    low, at = toxicity.padded([text])
+    got = toxicity.window_scores(low, weights)
+    t = toxicity._TABS
+    for s in range(len(text)):
+        want = 0.0
+        for i in range(s, s + toxicity.WINDOW):
+            for c in combinations(range(1, toxicity.SPAN), 3):
+                four = [low[i], *(low[i + k] for k in c)]
+                want += toxicity.DECAY ** (c[2] - 3) * weights[t[0][four[0]] ^ t[1][four[1]] ^ t[2][four[2]] ^ t[3][four[3]]]
+        assert abs(got[s] - want) < 1e-3
+    x, w = toxicity._features(low, np.arange(0, 40, 4))
+    known, inv = np.unique(x, return_inverse=True)
+    z = np.zeros((len(known), len(x)), np.float32)
+    np.add.at(z, (inv.reshape(x.shape), np.arange(len(x))[:, None]), np.broadcast_to(w, x.shape))
+    counts = [collections.Counter() for _ in x]
+    for c, row in zip(counts, x, strict=True):
+        for code, weight in zip(row, w[0], strict=True):
+            c[code] += float(weight)
+    dot = np.array([[sum(v * b[k] for k, v in a.items()) for b in counts] for a in counts])
+    assert np.allclose(z.T @ z, dot, rtol=1e-4) and np.allclose(toxicity._gram(x, w, known, z), dot, rtol=1e-4)
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + ("" if k % 4 else " you stupid idiot there ") + prose(30, k + 1000)) for k in range(400)] + [(1003, None), (1004, ""), (1005, "\n\n")]
     d = docs(spark, rows)
@@ -205,8 +314,13 @@ def test_toxicity(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
-    best = lambda t: model.score(np.maximum(toxicity._best(*toxicity.padded([t]), model.weights)[1], 0).astype(float))[0]
+    best = lambda t: model.score(np.maximum(toxicity._best(*toxicity.laid([t]), model.weights)[1], 0).astype(float))[0]
     assert best(b"such a stupid id-iot") > 0.5 > best(b"such a lovely day")
+    clean = [prose(40, 5000 + k).encode() for k in range(100)]
+    for spelt in (lambda w: ".".join(w), lambda w: " ".join(w), lambda w: "-".join(w), lambda w: w[:2] + w[1:], lambda w: w[:3] + "*" + w[3:]):
+        texts = [c + f" you {spelt(('stupid', 'idiot')[k % 2])} {spelt('stupid')} {spelt('idiot')} there".encode() for k, c in enumerate(clean)]
+        assert sum(best(t) >= 0.3 for t in texts) >= 90
+    assert sum(best(c + b" by J. R. R. T. and a b c d e f of it") >= 0.3 for c in clean) <= 2
     assert toxicity.scores(empty(spark), model).count() == 0
     alone = toxicity.fitted(d, labels.where("toxic = 0"))
     assert all(r.score < 0.3 for r in toxicity.scores(d, alone).collect())
