@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -233,7 +234,12 @@ def cost_bands(trips: DataFrame, ranges: dict[str, tuple[float, float]], amounts
             out = [np.percentile(k[i : i + 256] @ base, [20, 50, 80], axis=1).T for i in range(0, len(k), 256)]
             yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["p20", "p50", "p80"])
 
-    return trips.withColumn("_b", bands(*(F.col(amounts[n]) for n in names))).select(*trips.columns, "_b.*")
+    # Trips with the same amounts have the same band: each combination is drawn once.
+    columns = list(dict.fromkeys(amounts[n] for n in names))
+    once = trips.select(*(F.col(c).alias(f"_{c}") for c in columns)).distinct()
+    once = once.withColumn("_b", bands(*(F.col(f"_{amounts[n]}") for n in names)))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    return trips.join(once, same, "left").select(*trips.columns, "_b.*")
 
 
 def best_order(stops: DataFrame, trip: str = "trip", most: int = 7) -> DataFrame:
