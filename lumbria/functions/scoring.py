@@ -96,3 +96,25 @@ def all_reasons(*checks: tuple[Column, str], most: int | None = None) -> Column:
     """Names of the checks that hold, in their order."""
     out = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for cond, name in checks)))
     return F.slice(out, 1, most) if most else out
+
+
+# Band sets of the published tables, upper limits belonging to the lower band, and forest regions.
+RAIN_BANDS = ((30.0, 100.0), ("1_Seguro", "2_Precaucion", "3_Peligro"))
+WARMTH_BANDS = ((10.0, 20.0), ("Frio", "Templado", "Calido"))
+CLIMATE_BANDS = (
+    (500.0, 2300.0, 3500.0, 4000.0, 4800.0),
+    ("Cálido / Desértico (Costa)", "Templado Cálido (Yunga)", "Templado Seco (Quechua)", "Frío (Suni)", "Muy Frío (Puna)", "Glacial / Nieve (Janca)"),
+)
+FOREST, FOREST_REGIONS, FOREST_BELOW_M = "Tropical Húmedo (Selva)", ("LORETO", "UCAYALI", "MADRE DE DIOS", "SAN MARTIN", "AMAZONAS"), 1500.0
+COST_BANDS, TICKETED = ((15.0, 60.0), (1, 2, 3)), "MANIFESTACIONES CULTURALES|REALIZACIONES TÉCNICAS"
+
+
+def climate_zone(altitude: Column, region: Column) -> Column:
+    """Natural region by altitude, and the forest's below its altitude; null without one."""
+    forest = F.upper(region).isin(*FOREST_REGIONS) & (altitude < FOREST_BELOW_M)
+    return F.when(altitude.isNull(), F.lit(None)).when(forest, F.lit(FOREST)).otherwise(band(altitude, *CLIMATE_BANDS))
+
+
+def cost_index(km: Column, category: Column) -> Column:
+    """1 to 3 by distance, a step more where a ticket is usual."""
+    return F.least(band(km, *COST_BANDS, right=False).cast("int") + F.when(category.rlike(TICKETED), 1).otherwise(0), F.lit(3))
