@@ -146,3 +146,60 @@ def test_distances(spark):
     }
     d = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: tuple(r.v) for r in d.select("t", distance_time(F.col("t")).alias("v")).collect()} == want
+
+
+def test_access_without_alternatives(spark):
+    from lumbria.operators import rules
+
+    r = random.Random(11)
+    rows = [(code, way, seq, r.choice("ab"), r.choice("ab"), r.choice((1.0, 2.0, None)), r.choice((5.0, 7.0, 9.0, None)) if r.random() < 0.5 else 6.0, r.choice(("Vía A", "via-a", "", None)), r.choice(("A pie", "Auto"))) for code in range(60) for way in range(2) for seq in range(4)]
+    d = spark.createDataFrame(rows, "code long, way long, seq long, start string, end string, km double, minutes double, detail string, means string")
+    key = {"Vía A": "viaa", "via-a": "viaa"}
+    want = {}
+    for code in range(60):
+        best = []
+        for way in range(2):
+            kept = []
+            for x in (x for x in rows if x[:2] == (code, way)):
+                for i, e in enumerate(kept):
+                    if e[3:5] == x[3:5] and (e[5] == x[5] or (key.get(e[7]) and key.get(e[7]) == key.get(x[7]))):
+                        if x[6] is not None and (e[6] is None or x[6] < e[6]):
+                            kept[i] = x
+                        break
+                else:
+                    kept.append(x)
+            whole = all(x[6] is not None for x in kept)
+            walk = 0.0
+            for x in reversed(kept):
+                if x[8] != "A pie" or x[6] is None:
+                    break
+                walk += x[6]
+            km_all = sum(x[5] for x in kept) if all(x[5] is not None for x in kept) else None
+            best.append((not whole, sum(x[6] for x in kept) if whole else 0.0, way, km_all, walk if whole else None, kept[-1][8]))
+        b = min(best)
+        want[code] = (b[3], None if b[0] else b[1], b[4], b[5], 2)
+    assert {x.code: (x.km, x.minutes, x.walk, x.last_means, x.ways) for x in rules.access_summary(d).collect()} == want
+
+
+def test_nightly_places(spark):
+    from lumbria.operators import rules
+
+    r = random.Random(12)
+    places = [(z, z * 100 + k, r.choice("abc"), r.randrange(1000) * 10 + k) for z in range(8) for k in range(z)]
+    nights = [(z, z % 5) for z in range(8)]
+    want = set()
+    for z, n in nights:
+        own = sorted((p for p in places if p[0] == z), key=lambda p: -p[3])
+        left = list(range(len(own)))
+        for night in range(n if own else 0):
+            if len(left) < min(3, len(own)):
+                left = list(range(len(own)))
+            picked = []
+            for i in left:
+                if len(picked) < 3 and own[i][2] not in {own[j][2] for j in picked}:
+                    picked.append(i)
+            picked += [i for i in left if i not in picked][: 3 - len(picked)]
+            left = [i for i in left if i not in picked]
+            want |= {(z, night + 1, own[i][1]) for i in picked}
+    got = rules.nightly(spark.createDataFrame(places, "zone long, place long, kind string, trust long"), spark.createDataFrame(nights, "zone long, nights int")).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
