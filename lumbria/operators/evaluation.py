@@ -55,9 +55,12 @@ def krippendorff_alpha(grades: DataFrame, unit: str = "unit", grade: str = "grad
     return t.select(F.when(F.col("due") == 0, F.lit(1.0)).otherwise(1 - (F.col("t") - 1) * F.col("seen") / F.col("due")).alias("alpha"))
 
 
-def compared(pairs: DataFrame, a: str, b: str, times: int = 10_000, seed: int = 12) -> DataFrame:
+def compared(pairs: DataFrame, a: str, b: str, times: int = 10_000, seed: int = 12, most: int = 100_000) -> DataFrame:
     """Mean difference of a and b, wins, losses, ties, a 95 % bootstrap interval and Wilcoxon's signed-rank p (normal
-    approximation, ties corrected). One row per query is compared: a bounded evaluation set, handled in one group."""
+    approximation, ties corrected). One row per query is compared: a bounded evaluation set, handled in one group; more than
+    `most` rows are an error."""
+    if pairs.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows to compare")
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         d = (p[a] - p[b]).tolist()

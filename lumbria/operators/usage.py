@@ -180,11 +180,17 @@ def pareto(counts: DataFrame, name: str = "state", n: str = "n") -> DataFrame:
 def funnel(log: DataFrame) -> DataFrame:
     """Sessions by step: a step counts only where the steps before came earlier in the session; answers need results.
 
-    A session's events fold into its furthest step in the order (ts, id), as one array expression.
+    For each step in turn, the first event of it behind that of the step before, in the order (ts, id): windows over the
+    session, which may have any number of events.
     """
     step = F.expr("CASE type WHEN 'form' THEN 1 WHEN 'search' THEN 2 WHEN 'answer' THEN IF(results > 0, 3, 0) WHEN 'detail' THEN 4 WHEN 'saved' THEN 5 ELSE 0 END")
-    per = log.select("session", F.struct("ts", "id", step.alias("step")).alias("e")).groupBy("session").agg(F.collect_list(F.when(F.col("e.step") > 0, F.col("e"))).alias("es"))
-    far = F.aggregate(F.array_sort("es"), F.lit(0), lambda a, e: F.when(e["step"] == a + 1, a + 1).otherwise(a))
+    e = log.select("session", F.struct("ts", "id", step.alias("step")).alias("e"))
+    w = Window.partitionBy("session")
+    for k in range(1, 6):
+        behind = F.lit(True) if k == 1 else F.col("e") > F.col(f"k{k - 1}")
+        e = e.withColumn(f"k{k}", F.min(F.when((F.col("e.step") == k) & behind, F.col("e"))).over(w))
+    reached = sum((F.col(f"k{k}").isNotNull().cast("int") for k in range(1, 6)), F.lit(0))
+    per, far = e.groupBy("session").agg(F.max(reached).alias("_far")), F.col("_far")
     counts = per.select(far.alias("far")).agg(F.count(F.lit(1)).alias("c0"), *(F.count_if(F.col("far") >= k).alias(f"c{k}") for k in range(1, 6)))
     rows = ", ".join(f"named_struct('step', {k}, 'name', '{s}', 'sessions', c{k}, 'percent', try_divide(100.0D * c{k}, c0))" for k, s in enumerate(("visit", *STEPS)))
     return counts.select(F.expr(f"inline(array({rows}))"))
