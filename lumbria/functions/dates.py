@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import MONTHS, WEEKDAYS, folded
+
 # Weekday names of a rule, Monday first.
 DAYS = ("lun", "mar", "mie", "jue", "vie", "sab", "dom")
 
@@ -78,3 +80,42 @@ def month_window(month: Column, today: Column) -> Column:
     year = F.year(today) + F.when(month < F.month(today), 1).otherwise(0)
     first = F.make_date(year, month, F.lit(1))
     return F.struct(first.alias("starts"), F.last_day(first).alias("ends"))
+
+
+#: Ordinals of a weekday in a month, as prose says them.
+_NTH = {"primer": 1, "primero": 1, "segundo": 2, "tercer": 3, "tercero": 3, "cuarto": 4, "quinto": 5, "ultimo": -1}
+
+
+def prose_rule(text: Column) -> Column:
+    """Struct (rule, kind) of the date that a text about a feast names, as rule_dates() reads it; nulls without one.
+
+    Of what it says the most exact counts: a range of days, over two months or in one, an ordinal weekday, a day, a week
+    or part of a month, months from and to, a month. Of equals the first.
+    """
+    t = F.regexp_replace(folded(F.coalesce(text, F.lit("")), False), "septiembre", "setiembre")
+    t = F.regexp_replace(t, r"\b1(?:ro|ero|er|°|º)\b", "1")
+    month = "|".join(MONTHS)
+    number = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("string"), 2, "0")
+    two = lambda d: F.lpad(d, 2, "0")
+    got = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
+    day, and_to, of = r"(\d{1,2})", r"\s*(?:al?|y|-|–|hasta)\s*(?:el\s+)?", rf"\s+(?:de\s+|del\s+mes\s+de\s+)?({month})\b"
+    across, within, single = rf"\b{day}{of}{and_to}{day}{of}", rf"\b{day}{and_to}{day}{of}", rf"\b{day}{of}"
+    nth = rf"\b({'|'.join(sorted(_NTH, key=len, reverse=True))})\s+({'|'.join(WEEKDAYS)})(?:\s+de)?(?:l\s+mes\s+de)?\s+({month})\b"
+    part = rf"\b(primera|segunda|tercera|ultima)\s+(?:semana|quincena)\s+de\s+({month})\b"
+    months, one = rf"\b({month})\s*(?:a|al|hasta|-|–)\s*(?:el\s+mes\s+de\s+)?({month})\b", rf"\b({month})\b"
+    ordinal = F.coalesce(*(F.when(got(nth, 1) == k, F.lit(str(v))) for k, v in _NTH.items()))
+    weekday = F.element_at(F.array(*map(F.lit, DAYS)), F.array_position(F.array(*map(F.lit, WEEKDAYS)), got(nth, 2)).cast("int"))
+    week = F.when(t.rlike(r"quincena"), F.when(got(part, 1) == "primera", "01,15").otherwise("16,31")).otherwise(F.element_at(F.create_map(*(F.lit(x) for x in ("primera", "01,07", "segunda", "08,14", "tercera", "15,21", "ultima", "25,31"))), got(part, 1)))
+    begin, end = F.split(week, ",")[0], F.split(week, ",")[1]
+    valid = lambda *ds: [d.cast("int").between(1, 31) for d in ds]
+    rules = (
+        ("range_months", F.when(valid(got(across, 1))[0] & valid(got(across, 3))[0], F.concat(F.lit("fija "), number(got(across, 2)), F.lit("-"), two(got(across, 1)), F.lit(".."), number(got(across, 4)), F.lit("-"), two(got(across, 3))))),
+        ("range", F.when(valid(got(within, 1))[0] & valid(got(within, 2))[0], F.concat(F.lit("fija "), number(got(within, 3)), F.lit("-"), two(got(within, 1)), F.lit(".."), number(got(within, 3)), F.lit("-"), two(got(within, 2))))),
+        ("weekday", F.concat(F.lit("nesimo "), number(got(nth, 3)), F.lit(" "), ordinal, F.lit(" "), weekday)),
+        ("day", F.when(valid(got(single, 1))[0], F.concat(F.lit("fija "), number(got(single, 2)), F.lit("-"), two(got(single, 1))))),
+        ("part", F.concat(F.lit("fija "), number(got(part, 2)), F.lit("-"), begin, F.lit(".."), number(got(part, 2)), F.lit("-"), end)),
+        ("months", F.concat(F.lit("mes "), number(got(months, 1)), F.lit(".."), number(got(months, 2)))),
+        ("month", F.concat(F.lit("mes "), number(got(one, 1)))),
+    )
+    first = F.coalesce(*(F.when(r.isNotNull(), F.struct(r.alias("rule"), F.lit(k).alias("kind"))) for k, r in rules))
+    return F.struct(first["rule"].alias("rule"), first["kind"].alias("kind"))

@@ -96,3 +96,21 @@ def blind_kit(proposals: DataFrame, seed: str, question: str = "query", option:
     u = proposals.groupBy(question, option).agg(F.array_sort(F.collect_set(system)).alias("systems"))
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.col(question).cast("string"), F.col(option).cast("string")))
     return u.withColumn("place", F.row_number().over(Window.partitionBy(question).orderBy(mark, option)))
+
+
+def system_coverage(proposals: DataFrame, zones: DataFrame, system: str = "system") -> DataFrame:
+    """Per system: proposals, distinct zones, their share of all zones, share off the circuit and mean novelty.
+
+    proposals: (system, query, zone); zones: (zone, off_circuit, novelty)."""
+    total = zones.agg(F.count(F.lit(1)).alias("_all"))
+    p = proposals.join(zones, "zone").groupBy(system).agg(
+        F.count(F.lit(1)).alias("proposals"), F.count_distinct("zone").alias("zones"), F.avg(F.col("off_circuit").cast("double")).alias("off_circuit"), F.avg("novelty").alias("novelty")
+    )
+    return p.crossJoin(F.broadcast(total)).withColumn("share", F.col("zones") / F.col("_all")).drop("_all")
+
+
+def shared_zones(proposals: DataFrame, system: str = "system") -> DataFrame:
+    """(a, b, both, any): zones that two systems both propose, and that either does; systems are few."""
+    z = proposals.groupBy(system).agg(F.collect_set("zone").alias("z"))
+    a, b = z.select(F.col(system).alias("a"), F.col("z").alias("x")), z.select(F.col(system).alias("b"), F.col("z").alias("y"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("any"))

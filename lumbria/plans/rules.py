@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rules as ru
+from ..functions import dates
+from ..operators import reports as rp, rules as ru, zones as zo
 from .places import _SQL, _hav, customers
 from .relational import T
 
@@ -99,7 +100,42 @@ def _nights(s: SparkSession, d: str) -> DataFrame:
     return ru.nightly(p, s.range(50).select(c("id").alias("zone"), (c("id") % 6).cast("int").alias("nights")))
 
 
+_PROSE = {
+    "Se celebra el 24 de junio": "fija 06-24", "del 5 al 9 de agosto": "fija 08-05..08-09", "28 de diciembre al 6 de enero": "fija 12-28..01-06", "el segundo domingo de mayo": "nesimo 05 2 dom", "último viernes de septiembre": "nesimo 09 -1 vie",
+    "la primera semana de octubre": "fija 10-01..10-07", "de noviembre a febrero": "mes 11..02", "en Marzo": "mes 03", "sin fecha": None,
+}
+
+
+def _prose(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "part").select("p_partkey", dates.prose_rule(_pick("p_partkey", *_PROSE)).alias("r")).select("p_partkey", "r.rule", F.date_format(dates.rule_dates(c("r.rule"), F.lit(2026))["starts"], "yyyy-MM-dd").alias("starts"))
+
+
+_STARTS = ["2026-06-24", "2026-08-05", "2026-12-28", "2026-05-10", "2026-09-25", "2026-10-01", "2026-11-01", "2026-03-01", None]
+_listed = lambda v: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + "]"
+
+
+def _assigned(s: SparkSession, d: str) -> DataFrame:
+    p = customers(s, d).withColumn("block", F.floor("lat").cast("long"))
+    m = p.where("id % 4 = 0").select("block", (c("block") * 1000 + F.floor("lon")).alias("zone"), "lat", "lon", "alt")
+    return zo.assigned(m, p.where("id % 4 > 0").select("block", "id", (c("id") % 7).alias("place"), "lat", "lon", "alt", (c("id") % 3 > 0).alias("counts")), limit_km=250.0)
+
+
+def _systems(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "orders").select(_pick("o_orderkey", "engine", "guide", "variant").alias("system"), (c("o_custkey") % 97).alias("query"), (c("o_orderkey") * 7 % 61).alias("zone")).distinct()
+
+
+_SYSTEMS = "p AS (SELECT DISTINCT ['engine', 'guide', 'variant'][o_orderkey % 3 + 1] AS system, o_custkey % 97 AS query, o_orderkey * 7 % 61 AS zone FROM orders)"
+
+
+def _zone_facts(s: SparkSession) -> DataFrame:
+    return s.range(61).select(c("id").alias("zone"), (c("id") % 3 == 0).alias("off_circuit"), (c("id") % 10 / 10).alias("novelty"))
+
+
 QUERIES = {
+    "F25_prose_dates": (_prose, f"SELECT p_partkey, {_listed(_PROSE.values())}[p_partkey % 9 + 1] AS rule, {_listed(_STARTS)}[p_partkey % 9 + 1] AS starts FROM part"),
+    "G11_assigned_zones": (_assigned, None),
+    "A30_system_coverage": (lambda s, d: rp.system_coverage(_systems(s, d), _zone_facts(s)).select("system", "proposals", "zones", *(F.round(x, 9).alias(x) for x in ("off_circuit", "novelty", "share"))), f"WITH {_SYSTEMS} SELECT system, count(*) AS proposals, count(DISTINCT zone) AS zones, round(avg(CASE WHEN zone % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS off_circuit, round(avg(zone % 10 / 10), 9) AS novelty, round(count(DISTINCT zone) / 61, 9) AS share FROM p GROUP BY 1"),
+    "A30_shared_zones": (lambda s, d: rp.shared_zones(_systems(s, d)), f"WITH {_SYSTEMS}, z AS (SELECT DISTINCT system, zone FROM p), n AS (SELECT system, count(*) AS n FROM z GROUP BY 1), j AS (SELECT a.system AS a, b.system AS b, count(*) AS k FROM z a JOIN z b ON a.zone = b.zone AND a.system < b.system GROUP BY 1, 2) SELECT a, b, CAST(k AS INT) AS \"both\", CAST(x.n + y.n - k AS INT) AS \"any\" FROM j JOIN n x ON x.system = a JOIN n y ON y.system = b"),
     "P3_no_stop_reason": (_no_stop, _NO_STOP),
     "P4_ticket_kind": (_tickets, _TICKETS),
     "P5_numbers": (_numbers, "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN round_even(p_size / 4, 1) END AS v FROM part"),

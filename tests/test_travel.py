@@ -203,3 +203,35 @@ def test_nightly_places(spark):
             want |= {(z, night + 1, own[i][1]) for i in picked}
     got = rules.nightly(spark.createDataFrame(places, "zone long, place long, kind string, trust long"), spark.createDataFrame(nights, "zone long, nights int")).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_prose_dates(spark):
+    from lumbria.functions.dates import prose_rule
+
+    want = {
+        "La fiesta es el 3 de mayo": ("fija 05-03", "day"), "del 12 al 15 de julio": ("fija 07-12..07-15", "range"), "30 de diciembre al 2 de enero": ("fija 12-30..01-02", "range_months"), "tercer sábado de noviembre": ("nesimo 11 3 sab", "weekday"),
+        "segunda semana de abril": ("fija 04-08..04-14", "part"), "de mayo a julio": ("mes 05..07", "months"), "Agosto": ("mes 08", "month"), "todo el año": (None, None), "": (None, None), None: (None, None), "1ro de setiembre": ("fija 09-01", "day"),
+    }
+    d = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: tuple(r.v) for r in d.select("t", prose_rule(F.col("t")).alias("v")).collect()} == want
+
+
+def test_assigned_zones_follow_the_order(spark):
+    r = random.Random(13)
+    members = [(b, b * 10 + k % 3, -12 + r.random(), -77 + r.random(), float(r.randrange(0, 500))) for b in range(3) for k in range(6)]
+    pending = [(b, b * 100 + k, k % 4, -12 + r.random(), -77 + r.random(), r.choice((None, float(r.randrange(0, 500)))), bool(k % 2)) for b in range(3) for k in range(20)]
+    want = {}
+    for b in range(3):
+        zone = {}
+        for x in members:
+            if x[0] == b:
+                zone.setdefault(x[1], []).append(x[2:])
+        for x in sorted((x for x in pending if x[0] == b), key=lambda x: (x[2], x[1])):
+            far = lambda z: max(math.hypot(km(*x[3:5], *y[:2]), 0.06 * abs((y[2] or 0) - (x[5] or 0))) for y in zone[z])  # noqa: E731, B023
+            best = min(sorted(zone), key=far)
+            want[x[1]] = best if far(best) <= 80 else None
+            if want[x[1]] is not None and x[6]:
+                zone[best].append(x[3:6])
+    m = spark.createDataFrame(members, "block long, zone long, lat double, lon double, alt double")
+    p = spark.createDataFrame(pending, "block long, id long, place int, lat double, lon double, alt double, counts boolean")
+    assert {x.id: x.zone for x in zones.assigned(m, p).collect()} == want
