@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs for the rows
 that stay. A row is known by its id and a hash of its text, so rows that repeat an id with another text are judged on
 their own, and of rows that repeat both one stays once dedup has run.
+
+In every stage a null text counts as empty, a null id as the largest, and an empty table gives an empty one. Toxicity
+scores an empty text like one without any known subsequence and keeps it. Of empty texts one stays after dedup; near dedup
+takes texts without words for alike. Decontamination keeps texts without words. Toxicity, decontamination and packing keep
+repeated rows as they stand. Columns besides id and text pass through, whatever their names. Needs: labels (doc_id, toxic)
+for toxicity, benchmark (item_id, text) for decontamination; without labelled rows nothing is rejected as toxic.
 """
 
 from __future__ import annotations

@@ -199,11 +199,12 @@ def fit(toxic: list[bytes], clean: list[bytes], seed: int = 3) -> Model:
     At first, contiguous subsequences are weighted by how much more often toxic texts hold them. In each round, the best
     sentence of a toxic text is its toxic one, if it stands out from nearly all clean texts' best ones, all sentences of clean texts are clean, of which the best of each text
     and a random few are taken; some words of both are misspelt, so that a gap alone says nothing; landmarks are drawn from both kinds; the machine's solution over Nyström features is
-    folded into a weight per subsequence. At last a logistic curve is fitted to the texts' values.
+    folded into a weight per subsequence. At last a logistic curve is fitted to the texts' values. Without texts of both
+    kinds nothing can be told apart, and every text scores 0.
     """
     rng = np.random.default_rng(seed)
     if not toxic or not clean:
-        return Model(np.zeros(1 << BITS, np.float32), 1.0, float(np.log((len(toxic) + 0.5) / (len(clean) + 0.5))))
+        return Model(np.zeros(1 << BITS, np.float32), 1.0, -30.0)
     texts = [*toxic, *clean]
     sents, of = _sentences(texts)
     low, at = laid(sents)

@@ -324,5 +324,7 @@ def test_toxicity(spark):
     assert toxicity.scores(empty(spark), model).count() == 0
     alone = toxicity.fitted(d, labels.where("toxic = 0"))
     assert all(r.score < 0.3 for r in toxicity.scores(d, alone).collect())
+    for few in (labels.limit(0), labels.where("toxic = 1")):
+        assert all(r.score < 1e-9 for r in toxicity.scores(d, toxicity.fitted(d, few)).collect())
     by_column = {r.doc_id: r.s for r in d.select("doc_id", toxicity.score_of(model, d["text"]).alias("s")).where("text is not null").collect()}
     assert all(abs(by_column[r.doc_id] - r.score) < 1e-6 for r in got if r.doc_id in by_column)
