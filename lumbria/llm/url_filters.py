@@ -114,10 +114,13 @@ def _branches(rows: DataFrame, tree: Tree) -> DataFrame:
     apart = (lab >= tree.labels) & (l > lab) & F.coalesce(gap > tree.z * error, F.lit(False))
     band = F.least(F.floor(F.try_divide(fine, lab) * tree.bands), F.lit(tree.bands - 1))
     child = child.join(node, ["host", "template", "_x"]).withColumn("band", F.when(apart, band))
-    alike = child.where("band IS NOT NULL").groupBy("host", "template", "band").agg(F.count(F.lit(1)).alias("k"))
-    child = child.select("host", "template", "seg", "band").join(alike, ["host", "template", "band"], "left")
-    name = F.when(F.col("band").isNull(), F.lit("*")).when(F.col("k") > 1, F.concat(F.lit("*"), F.col("band").cast("string"))).otherwise(F.col("seg"))
-    return child.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), name.alias("_as"))
+    child = child.select("host", "template", "seg", "band")
+    special = child.where("band IS NOT NULL")
+    alike = special.groupBy("host", "template", "band").agg(F.count(F.lit(1)).alias("k"))
+    name = F.when(F.col("k") > 1, F.concat(F.lit("*"), F.col("band").cast("string"))).otherwise(F.col("seg"))
+    named = special.join(alike, ["host", "template", "band"]).select("host", "template", "seg", name.alias("_as"))
+    named = named.unionByName(child.where("band IS NULL").select("host", "template", "seg", F.lit("*").alias("_as")))
+    return named.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), "_as")
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> DataFrame:
