@@ -69,6 +69,7 @@ QUERIES = {
     "G2_transfer_edges": (lambda s, d: nw.transfer_edges(suppliers(s, d).withColumnRenamed("s_id", "id"), customers(s, d), 60).select("u", "v", F.round("km", 6).alias("km")), f"{_SQL}, p AS (SELECT s.s_id AS u, c.id AS v, {_hav('s.r_lat', 's.r_lon', 'c.lat', 'c.lon')} AS km FROM c, s), q AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY km, v) AS r FROM p WHERE km <= 60) SELECT u, v, round(km, 6) AS km FROM q WHERE r = 1 UNION ALL SELECT v, u, round(km, 6) FROM q WHERE r = 1"),
     "G3_edge_minutes": (lambda s, d: nw.edge_minutes(T(s, d, "lineitem").select("l_orderkey", "l_partkey", c("l_returnflag").alias("kind"), (c("l_quantity")).alias("km"), (c("l_partkey") % 2 == 0).alias("unpaved"), (c("l_suppkey") % 3).cast("double").alias("turns"), (c("l_suppkey") % 4 == 0).alias("town")), s.createDataFrame([("A", 1.0), ("N", 1.5), ("R", 2.0)], "kind string, pace double"), 0.5, 0.125, 2.5).select("l_orderkey", "l_partkey", "minutes"), "SELECT l_orderkey, l_partkey, l_quantity * CASE WHEN l_suppkey % 4 = 0 THEN greatest(r, 2.5::DOUBLE) ELSE r END AS minutes FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END + CASE WHEN l_partkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + (l_suppkey % 3) * 0.125::DOUBLE AS r FROM lineitem)"),
     "G4_parallel_edges": (lambda s, d: nw.cheapest_parallel(T(s, d, "lineitem").select((c("l_partkey") % 50).alias("u"), (c("l_suppkey") % 50).alias("v"), c("l_extendedprice").alias("minutes"))), "SELECT l_partkey % 50 AS u, l_suppkey % 50 AS v, min(l_extendedprice) AS minutes FROM lineitem GROUP BY ALL"),
+    "G7_paths_with_retry": (lambda s, d: nw.paths_with_retry(_edges(s, d).select("*", (c("cost") * 2).alias("km"), ((c("u") + c("v")) % 3 > 0).alias("inside")), T(s, d, "nation").select(c("n_nationkey").cast("long").alias("source"), F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 7, 13, 24)))).alias("node")), "inside", ("km",)).select("source", "node", (c("km") == 2 * c("cost")).alias("fits")), "SELECT n_nationkey::BIGINT AS source, unnest([1, 7, 13, 24])::BIGINT AS node, true AS fits FROM nation"),
     "G7_shortest_paths": (lambda s, d: nw.shortest_paths(_edges(s, d), T(s, d, "nation").select(c("n_nationkey").cast("long").alias("source"), c("n_nationkey").cast("long").alias("node"))), f"WITH {_EDGES}, {_DOUBLED} SELECT u AS source, v AS node, w AS cost FROM d5"),
     "G9_town_cells": (lambda s, d: nw.town_cells(customers(s, d), 1.0, 6.0).select(c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), F.round("density", 6).alias("density")), f"{_SQL}, n AS (SELECT CAST(floor(lat) AS INT) AS y, CAST(floor(lon) AS INT) AS x, count(*) AS n FROM c GROUP BY ALL), o AS (SELECT unnest([-1, 0, 1]) AS k) SELECT y + p.k AS y, x + q.k AS x, round(sum(n) / 9, 6) AS density FROM n, o p, o q GROUP BY 1, 2 HAVING sum(n) / 9 >= 6"),
     "G14_day_plans": (lambda s, d: tr.day_plans(_stops(s, d)), None),

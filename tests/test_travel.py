@@ -235,3 +235,14 @@ def test_assigned_zones_follow_the_order(spark):
     m = spark.createDataFrame(members, "block long, zone long, lat double, lon double, alt double")
     p = spark.createDataFrame(pending, "block long, id long, place int, lat double, lon double, alt double, counts boolean")
     assert {x.id: x.zone for x in zones.assigned(m, p).collect()} == want
+
+
+def test_paths_sum_up_along_and_retry(spark):
+    from lumbria.operators import network
+
+    e = spark.createDataFrame([(1, 2, 5.0, 0.0, True), (2, 3, 5.0, 7.0, True), (1, 3, 20.0, 1.0, True), (3, 4, 1.0, 2.0, False), (5, 6, 1.0, 1.0, True)], "u long, v long, cost double, train double, inside boolean")
+    got = {(r.source, r.node): (r.cost, r.train) for r in network.shortest_paths(e, spark.createDataFrame([(1, 1)], "source long, node long"), along=("train",)).collect()}
+    assert got == {(1, 1): (0, 0), (1, 2): (5, 0), (1, 3): (10, 7), (1, 4): (11, 9)}
+    pairs = spark.createDataFrame([(1, 3), (1, 4), (1, 6)], "source long, node long")
+    got = {(r.source, r.node): (r.cost, r.train) for r in network.paths_with_retry(e, pairs, "inside", ("train",)).collect()}
+    assert got == {(1, 3): (10, 7), (1, 4): (11, 9), (1, 6): (None, None)}
