@@ -50,6 +50,20 @@ def redacted(c: Column) -> Column:
     return F.regexp_replace(t, r"(?<![\d.])\d{8}(?![\d.])", "[id]")
 
 
+#: Words before which a person is named in notices, and what a part of such a name looks like.
+CUES = ("contacto", "responsable", "encargad[oa]", "administradora?", "comunicarse con", "coordinar con", "llamar a", "informes con", "señora?", "sra?", "srta", "don", "doña", "lic", "ing", "prof", "dra?")
+_NAME = r"\p{Lu}[\p{L}'-]+"
+
+
+def names_redacted(c: Column) -> Column:
+    """Capitalised names of up to five parts, joining words among them, right behind a cue such as contacto: or Sra.,
+    replaced by a mark. A name without a cue stays, as does a cue in front of an ordinary word."""
+    words = "|".join(CUES)
+    cue = rf"(?iu:(?<!\p{{L}})(?:{words})\b\.?)"
+    before = rf"{cue}\s*[:,-]?\s*(?:(?:el|la|al)\s+)?(?:{cue}\s*)?(?!{cue})"
+    return F.regexp_replace(c, rf"({before}){_NAME}(?:\s+(?:(?:de|del|la|las|los|y)\s+){{0,2}}{_NAME}){{0,4}}", "$1[name]")
+
+
 def opening_hours(c: Column) -> Column:
     """Struct (opens, closes) as HH:MM from a text with exactly two twelve-hour times; midnight closes at 24:00."""
     t = folded(F.coalesce(cleaned(c), F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text as x
 from ..operators import reports as rp, rules as ru, zones as zo
 from .places import _SQL, _hav, customers
 from .relational import T
@@ -131,7 +131,14 @@ def _zone_facts(s: SparkSession) -> DataFrame:
     return s.range(61).select(c("id").alias("zone"), (c("id") % 3 == 0).alias("off_circuit"), (c("id") % 10 / 10).alias("novelty"))
 
 
+_NOTICES = {
+    "Contacto: María Quispe de la Cruz, lunes a viernes": "Contacto: [name], lunes a viernes", "coordinar con el Sr. Juan Huamán Rojas.": "coordinar con el Sr. [name].", "Responsable - Ana Ñaupa Soto (084)": "Responsable - [name] (084)",
+    "Museo Don Bosco abierto": "Museo Don [name] abierto", "encargada de sala": "encargada de sala", "Plaza de Armas de Cusco": "Plaza de Armas de Cusco", "Ing. Luis Ríos": "Ing. [name]",
+}
+
+
 QUERIES = {
+    "F4_names": (lambda s, d: T(s, d, "part").select("p_partkey", x.names_redacted(_pick("p_partkey", *_NOTICES)).alias("t")), f"SELECT p_partkey, {_listed(_NOTICES.values())}[p_partkey % 7 + 1] AS t FROM part"),
     "F25_prose_dates": (_prose, f"SELECT p_partkey, {_listed(_PROSE.values())}[p_partkey % 9 + 1] AS rule, {_listed(_STARTS)}[p_partkey % 9 + 1] AS starts FROM part"),
     "G11_assigned_zones": (_assigned, None),
     "A30_system_coverage": (lambda s, d: rp.system_coverage(_systems(s, d), _zone_facts(s)).select("system", "proposals", "zones", *(F.round(x, 9).alias(x) for x in ("off_circuit", "novelty", "share"))), f"WITH {_SYSTEMS} SELECT system, count(*) AS proposals, count(DISTINCT zone) AS zones, round(avg(CASE WHEN zone % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS off_circuit, round(avg(zone % 10 / 10), 9) AS novelty, round(count(DISTINCT zone) / 61, 9) AS share FROM p GROUP BY 1"),
