@@ -11,20 +11,16 @@ _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _POW: dict[int, np.ndarray] = {}
 
 
-#: Longest table of powers that a worker keeps.
-_KEEP = 1 << 17
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _POW.get(int(base))
     if have is None or len(have) <= n:
-        full = np.full(max(n, _KEEP) + 1, base, np.uint64)
+        full = np.full(max(n, 1 << 20) + 1, base, np.uint64)
         full[0] = 1
         with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(full)
-        if len(have) <= _KEEP + 1:
-            _POW[int(base)] = have
+            have = _POW[int(base)] = np.multiply.accumulate(full)
+        if n > 1 << 23:
+            del _POW[int(base)]
     return have[: n + 1]
 
 

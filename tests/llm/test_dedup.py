@@ -210,9 +210,6 @@ def test_two_stage_order():
         order = suffix_dedup.two_stage_order(d, w, m)
         keys = [b[i : i + m] for i in order]
         assert sorted(order.tolist()) == np.flatnonzero(w).tolist() and keys == sorted(keys)
-        same = lambda x, y: next((k for k in range(m) if x[k] != y[k]), m) // 8 * 8  # noqa: E731, B023
-        words = suffix_dedup._words(np.append(d, np.zeros(m + 8, np.uint8)))
-        assert suffix_dedup.common_prefixes(words, order, m).tolist() == [same(x, y) for x, y in zip(keys, keys[1:], strict=False)]
         seen = collections.Counter(b[i : i + m] for i in np.flatnonzero(w))
         hit = suffix_dedup.repeated(d, w, m)
         assert all(hit[i] == (seen[b[i : i + m]] > 1) for i in np.flatnonzero(w))
