@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, exact_dedup, line_dedup, packing, periodic, sharding, simhash, suffix_dedup, toxicity, url_filters, warc
+from . import alignment, decontaminate, exact_dedup, line_dedup, packing, periodic, setjoin, sharding, simhash, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bin_slack": packing.op8_bin_slack,
         "op9_string_kernel": toxicity.op9_string_kernel,
         "op10_content_sort": exact_dedup.op10_content_sort,
+        "op11_heavy_light": setjoin.op11_heavy_light,
         "op12_block_runs": periodic.op12_block_runs,
         "op13_group_dictionary": alignment.op13_group_dictionary,
     }
