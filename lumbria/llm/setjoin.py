@@ -24,12 +24,12 @@ WORDS, PERCENT = 5, 80
 MOST_LIGHT, COMPARE = 64, 0.2
 #: Frequent shingles go last in the order of all sets: those of so many documents at least, and so many shingles at most.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
-#: Text whose shingles are counted together, bins of a set's outline, and bytes of a group that one task compares.
-CHUNK, BINS, BLOCK = 8 << 20, 64, 1 << 20
+#: Text whose shingles are counted together, bins of a small set's outline, and bytes of a group that one task compares.
+CHUNK, BINS, BLOCK = 8 << 20, 64, 8 << 20
 #: Words whose hashes a worker keeps.
 MEMORY = 1 << 18
 
-_FULL = np.iinfo(np.uint16).max
+_FULL = np.iinfo(np.uint8).max
 
 
 class Shingles:
@@ -74,9 +74,16 @@ def apart(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def bins_of(n: int) -> int:
+    """Bins of the outline of a set of n: a power of two, so that a bin counts four shingles or fewer on average."""
+    return max(BINS, 1 << max(0, -(-n // 4) - 1).bit_length())
+
+
 def outline(s: np.ndarray) -> bytes:
-    """How many of the set's hashes fall into each bin: two sets have in common at most the sum of the smaller counts."""
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), _FULL).astype(np.uint16).tobytes()
+    """How many of the set's hashes fall into each bin: two sets have in common at most the sum of the smaller counts. A
+    count of _FULL stands for any larger one too."""
+    b = bins_of(len(s))
+    return np.minimum(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b), _FULL).astype(np.uint8).tobytes()
 
 
 def _counted(words: int):
@@ -199,26 +206,59 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _unlike(lists: DataFrame) -> DataFrame:
+    """One of all lists (grp, node) with the same nodes, known by their number, ends and two hashes of all: near copies
+    meet under most of their keys."""
+    marks = [F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")]
+    one = lists.groupBy("grp").agg(*marks).groupBy("n", "low", "high", "a", "b").agg(F.min("grp").alias("grp"))
+    return lists.join(one.select("grp"), "grp")
+
+
 class Outlines:
     """Members by their bins: what two have in common at most, against what linked sets need; no link has it negative."""
 
     def __init__(self, n: np.ndarray, loads: list[bytes], percent: int):
-        self.n, self.percent = n, percent
-        self.bins = np.frombuffer(b"".join(loads), np.uint16).reshape(-1, BINS)
+        self.n, self.percent, self.loads = n, percent, loads
+        self.width = np.array([bins_of(k) for k in n.tolist()], np.int64)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _counts(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in so many bins of all members whose outline has as many or twice as many, and each member's row among
+        them; full counts are beyond all others."""
+        if width not in self.known:
+            parts, at = [], np.full(len(self.n), -1)
+            for w in (width, 2 * width):
+                own = np.flatnonzero(self.width == w)
+                if len(own):
+                    at[own] = sum(map(len, parts)) + np.arange(len(own))
+                    c = np.frombuffer(b"".join(self.loads[k][:w] for k in own.tolist()), np.uint8).reshape(len(own), w).astype(np.uint16)
+                    c[c == _FULL] = 1 << 14
+                    parts.append(c if w == width else c[:, :width] + c[:, width:])
+            self.known[width] = np.concatenate(parts), at
+        return self.known[width]
 
     def excess(self, h: int, others: np.ndarray) -> np.ndarray:
-        low = np.minimum(self.bins[h], self.bins[others])
-        both = low.sum(1, dtype=np.int64)
-        both[(low == _FULL).any(1)] = 1 << 40
-        return (100 + self.percent) * both - self.percent * (self.n[h] + self.n[others])
+        out = np.full(len(others), -1, np.int64)
+        n = self.n[others]
+        fits = 100 * np.minimum(n, self.n[h]) >= self.percent * np.maximum(n, self.n[h])
+        width = np.minimum(self.width[others], self.width[h])
+        for w in set(width[fits].tolist()):
+            some = np.flatnonzero(fits & (width == w))
+            counts, at = self._counts(w)
+            step = max(1, (1 << 20) // w)
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                low = np.minimum(counts[at[h]], counts[at[others[part]]])
+                out[part] = (100 + self.percent) * low.sum(1, dtype=np.int64) - self.percent * (self.n[h] + n[part])
+        return out
 
 
 class Wholes(Outlines):
-    """Members by all their shingles, each load being the bins and the ascending hashes: what two have in common."""
+    """Members by all their shingles, each load being the outline and the ascending hashes: what two have in common."""
 
     def __init__(self, n: np.ndarray, loads: list[bytes], percent: int):
-        super().__init__(n, [x[: 2 * BINS] for x in loads], percent)
-        self.sets = [np.frombuffer(x, np.uint64, offset=2 * BINS) for x in loads]
+        super().__init__(n, loads, percent)
+        self.sets = [np.frombuffer(x, np.uint64, offset=w) for x, w in zip(loads, self.width.tolist(), strict=True)]
 
     def excess(self, h: int, others: np.ndarray) -> np.ndarray:
         out = super().excess(h, others)
@@ -382,7 +422,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     release(spark)
     posted = own.select("node", "n", "head").mapInArrow(_postings(percent, boundary(own, percent), both=False), _POSTED)
     lists = posted.select("key", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, node long")
-    lists = materialised(lists.select(F.col("key").alias("grp"), "node"), "lists")
+    lists = materialised(_unlike(materialised(lists.select(F.col("key").alias("grp"), "node"), "lists")), "lists")
     release(spark)
     proposed = connected_components(materialised(connecting(lists, own.select("node", "n", "load"), Outlines, percent, block).distinct(), "proposed"))
     found = materialised(proposed.join(own.select("node", "k1", "k2", "low", "n"), "node"), "found")
