@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,30 @@ def _dictionary(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     return low[np.repeat(starts[first] - at[:-1], size) + np.arange(at[-1])].tobytes(), at
 
 
+def _word_runs(tok: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, list_at): places by hash, equal words together and ascending, and where each word's list begins. Words of
+    one hash are compared with the first of them; where they differ, the words themselves part the lists."""
+    order = np.argsort(tok, kind="stable")
+    new = np.r_[True, tok[order[1:]] != tok[order[:-1]]] if len(tok) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    size = ends - starts
+    first = order[np.flatnonzero(new)][run]
+    unlike = size[order] != size[first]
+    n = np.where(unlike, 0, size[order])
+    at = np.cumsum(n) - n
+    step = np.arange(n.sum()) - np.repeat(at, n)
+    differs = low[np.repeat(starts[order], n) + step] != low[np.repeat(starts[first], n) + step]
+    if len(differs):
+        some = np.flatnonzero(n)
+        unlike[some] |= np.logical_or.reduceat(differs, at[some])
+    for r in np.unique(run[unlike]).tolist():
+        a, b = np.searchsorted(run, [r, r + 1])
+        own = sorted(order[a:b].tolist(), key=lambda k: (low[starts[k] : ends[k]].tobytes(), k))
+        order[a:b] = own
+        new[a + 1 : b] = [low[starts[x] : ends[x]].tobytes() != low[starts[y] : ends[y]].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)]
+    return order, np.flatnonzero(new)
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5]
     for b in batches:
@@ -41,16 +66,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in blocks(off, SEGMENT_BYTES):
             low = lowered(data[off[i] : off[j]])
             tok, starts, ends, at = word_spans(low, off[i : j + 1] - off[i])
-            order = np.argsort(tok, kind="stable")
-            terms, list_at = np.unique(tok[order], return_index=True)
+            order, list_at = _word_runs(tok, low, starts, ends)
+            terms = tok[order[list_at]]
             words, word_at = _dictionary(low, starts, ends, order[list_at] if len(tok) else order)
             row = (ids[i:j].tolist(), at.tolist(), terms.tobytes(), np.r_[list_at, len(tok)].astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes(), words, word_at.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names=["doc_ids", "token_at", "terms", "list_at", "places", "words", "word_at"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index as a table of segments. A segment holds whole texts; per distinct term its ascending token places and its
-    word, in order of the terms' hashes, and where each text's tokens begin. No row is shuffled: a phrase can't leave
+    """The index as a table of segments. A segment holds whole texts; per distinct word its ascending token places and
+    itself, in order of the words' hashes, and where each text's tokens begin. No row is shuffled: a phrase can't leave
     its text, so postings stay with their segment, and any number of segments is searched side by side."""
     small_batches(docs)
     segments = pick(docs, id_col, text_col).mapInArrow(trimmed(_segments), _SEGMENT)
@@ -72,11 +97,12 @@ class _Phrases:
 
     def __init__(self, rows: list):
         items = [(r["item_id"], np.frombuffer(bytes(r["terms"]), np.uint64)) for r in rows]
-        flat_terms = np.concatenate([np.zeros(0, np.uint64), *(t for _, t in items)])
-        self.known, first, self.of = np.unique(flat_terms, return_index=True, return_inverse=True)
-        self.of = self.of.astype(np.int32)
         words = [w for r in rows for w in bytes(r["words"]).split(b" ") if w]
-        self.words = [words[k] for k in first]
+        number: dict[bytes, int] = {}
+        self.of = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        self.words = list(number)
+        self.known = np.zeros(len(number), np.uint64)
+        self.known[self.of] = np.concatenate([np.zeros(0, np.uint64), *(t for _, t in items)])
         begins: dict[int, list] = {}
         at = 0
         for i, t in items:
@@ -87,12 +113,13 @@ class _Phrases:
         self.groups = [(n, np.concatenate([s for s, _ in own]), np.repeat(np.array([i for _, i in own], np.int64), [len(s) for s, _ in own])) for n, own in sorted(begins.items())]
 
     def _found(self, terms: np.ndarray, words: bytes, word_at: np.ndarray) -> np.ndarray:
-        """Number in the segment of each known term, -1 if it isn't there. Hashes find it, the word itself decides."""
-        t = np.minimum(np.searchsorted(terms, self.known), len(terms) - 1)
+        """Number in the segment of each known word, -1 if it isn't there. Hashes find it, the word itself decides."""
+        low, high = (np.searchsorted(terms, self.known, side=side) for side in ("left", "right"))
         out = np.full(len(self.known), -1, np.int64)
-        for k in np.flatnonzero(terms[t] == self.known):
-            if words[word_at[t[k]] : word_at[t[k] + 1]] == self.words[k]:
-                out[k] = t[k]
+        for k in np.flatnonzero(low < high).tolist():
+            for t in range(low[k], high[k]):
+                if words[word_at[t] : word_at[t + 1]] == self.words[k]:
+                    out[k] = t
         return out
 
     def search(self, segment: tuple[np.ndarray, ...], token_at: np.ndarray, slop: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -171,25 +198,29 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
     (ids of the items with a found window). slop 0: exact phrases; more: proximity, each term at most so far off.
 
     Items are searched in blocks of BLOCK_BYTES of their texts, so what the driver and a task hold is bounded however
-    many items there are; several blocks are several passes over the index, joined by text. Repeated words, items and
-    texts count as they stand; a text or item without words has no window; null texts are empty. A term is looked up by
-    a 64-bit hash and its word is compared; two words of one segment are taken to differ in their hashes.
+    many items there are; each block is a pass over the index, and what all of them hit is put together by text once.
+    Repeated words, items and texts count as they stand; a text or item without words has no window; null texts are empty;
+    an empty index gives an empty table, and without items nothing is hit. Words are found by a 64-bit hash and compared.
     """
     t = pick(items, id_col, text_col, "item_id", "text")
     size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     small_batches(index)
-    out = None
+    kind = "doc_id long, n_words long, hit_words array<long>, items array<long>, row string"
+    parts = []
     for k in range(n):
         found = t.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).mapInArrow(trimmed(_terms), "item_id long, terms binary, words binary").collect()
-        part = index.mapInArrow(trimmed(_searched(_Phrases(found), slop)), "doc_id long, n_words long, hit_words array<long>, items array<long>, row string")
-        if out is None:
-            out = part
-        else:
-            p = materialised(part.where("size(items) > 0"), "hits").select("row", F.col("hit_words").alias("_h"), F.col("items").alias("_i"))
-            empty = F.array().cast("array<long>")
-            out = out.join(p, "row", "left").select("doc_id", "n_words", F.array_union("hit_words", F.coalesce("_h", empty)).alias("hit_words"), F.array_union("items", F.coalesce("_i", empty)).alias("items"), "row")
-    return out.drop("row").withColumn("doc_id", id_out(F.col("doc_id")))
+        parts.append(index.mapInArrow(trimmed(_searched(_Phrases(found), slop)), kind))
+    if n == 1:
+        out = parts[0]
+    else:
+        hits = reduce(DataFrame.unionByName, [materialised(p.where("size(items) > 0").select("row", "hit_words", "items"), "hits") for p in parts])
+        every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"_{c}")
+        hits = hits.groupBy("row").agg(every("hit_words"), every("items"))
+        empty = F.array().cast("array<long>")
+        texts = index.mapInArrow(trimmed(_searched(_Phrases([]), slop)), kind).select("doc_id", "n_words", "row")
+        out = texts.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("_hit_words", empty).alias("hit_words"), F.coalesce("_items", empty).alias("items"))
+    return out.select("doc_id", "n_words", "hit_words", "items").withColumn("doc_id", id_out(F.col("doc_id")))
 
 
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,20 @@ def test_decontamination(spark, block, monkeypatch):
     assert all(not r.hit_words for r in decontaminate.matches(decontaminate.build_index(docs(spark)), items.limit(0)).collect())
 
 
+def thue_morse(n):
+    """Two words of 2**n letters, each the other's complement, that have one hash where that is a polynomial modulo 2**64."""
+    return ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(2**n)) for flip in (0, 1)]
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    one, other = thue_morse(10)
+    rows = [(1, f"{one} x"), (2, f"{other} y {other}"), (3, f"{other} {one} {other}")]
+    items = [(7, one), (8, f"{other} y"), (9, f"{one} {other}")]
+    d = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1)
+    got = decontaminate.matches(decontaminate.build_index(d), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_words, tuple(sorted(r.hit_words)), tuple(sorted(r["items"]))) for r in got) == found(rows, items)
+
+
 def test_proximity(spark):
     d = docs(spark, [(1, "alpha one beta gamma"), (2, "alpha beta gamma"), (3, "gamma far away from all alpha beta")])
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
