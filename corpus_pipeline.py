@@ -27,15 +27,15 @@ NEAR_WORDS, LEAST_ALIKE = 5, 0.8
 #: SQL has neither the kernel machine nor XXH64; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
-_ID, _TH = "__row_id", "__row_hash"
-
 
 def _text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({_ID: id_in(docs["doc_id"]), _TH: F.xxhash64(_text(docs))})
+def _named(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, id, hash, *more): a whole row as one struct, so that no column of docs meets one of a stage's."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(whole, id_in(docs["doc_id"]).alias("id"), F.xxhash64(_text(docs)).alias("hash"), *(c.alias(k) for k, c in more.items()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal once A-Z are lower-cased, the row with the smallest id."""
-    rows = _named(docs)
     ready(spark)
-    best = exact_dedup.groups(docs, keep="min").where("kept").select(id_in(F.col("doc_id")).alias(_ID), F.col("text_sha256").alias("__sha"))
-    rows = rows.withColumn("__sha", exact_dedup.sha_of(_text(docs)))
-    return rows.join(best, [_ID, "__sha"], "left_semi").dropDuplicates([_ID, "__sha"]).select(*docs.columns)
+    best = exact_dedup.groups(docs, keep="min").where("kept").select(id_in(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha"))
+    rows = _named(docs, sha=exact_dedup.sha_of(_text(docs)))
+    return rows.join(best, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,18 +62,18 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Texts of equal fingerprints are candidates too, whether or not they are linked to others.
     found = rows.join(near, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component"))
     same = simhash.verified(docs, materialised(found, "found"), NEAR_WORDS, LEAST_ALIKE)
-    best = rows.join(same, "th", "left").groupBy(F.coalesce("class", "th")).agg(F.min(F.struct("doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias(_ID), F.col("b.th").alias(_TH))
-    return _named(docs).join(best, [_ID, _TH], "left_semi").dropDuplicates([_ID, _TH]).select(*docs.columns)
+    best = rows.join(same, "th", "left").groupBy(F.coalesce("class", "th")).agg(F.min(F.struct("doc_id", "th")).alias("b")).select(F.col("b.doc_id").alias("id"), F.col("b.th").alias("hash"))
+    return _named(docs).join(best, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose words benchmark windows cover to less than a twentieth."""
     ready(spark)
-    rows = _named(docs).withColumn("__key", F.xxhash64(_ID, _TH))
-    index = decontaminate.build_index(rows, id_col="__key")
+    rows = _named(docs).withColumn("key", F.xxhash64("id", "hash"))
+    index = decontaminate.build_index(rows.select("key", F.col("row.text").alias("text")), id_col="key")
     found = decontaminate.matches(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialised(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return rows.join(bad, "__key", "left_anti").select(*docs.columns)
+    bad = materialised(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return rows.join(bad, "key", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
