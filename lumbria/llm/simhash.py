@@ -21,7 +21,7 @@ SEED = 42
 SAME, PER_BLOCK = 3, 8
 #: Near copies by words: so many fingerprints of a text's set of words, two of which lie within so many bits; and the
 #: bits within which the fingerprints of their five-word shingles lie.
-WORD_PRINTS, WORD_BITS, SHINGLE_BITS = 4, 4, 18
+WORD_PRINTS, WORD_BITS, SHINGLE_BITS = 6, 5, 18
 #: Buckets with more fingerprints than this are dealt anew by a second table of pivots.
 LARGE = 4096
 

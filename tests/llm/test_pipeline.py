@@ -31,7 +31,7 @@ def shingle_list(t):
 def near_prints(t):
     """The fingerprints of the set of words, and that of the shingles."""
     h = [xxhash.xxh64(w, seed=42).intdigest() for w in set(t.encode().translate(LOW).split())]
-    by_word = [majority([mix(x ^ k * 0x9E3779B97F4A7C15 % 2**64) if k else x for x in h]) for k in range(4)]
+    by_word = [majority([mix(x ^ k * 0x9E3779B97F4A7C15 % 2**64) if k else x for x in h]) for k in range(6)]
     return by_word, majority([xxhash.xxh64(x, seed=42).intdigest() for x in shingle_list(t)])
 
 
@@ -65,7 +65,7 @@ def near_survivors(rows):
     """By brute force what drop_near() keeps of rows in order of their ids."""
     prints = [near_prints(t) for _, t in rows]
     apart = lambda a, b: (a ^ b).bit_count()
-    close = lambda a, b: any(apart(x, y) <= 4 for x, y in zip(a[0], b[0], strict=True)) and apart(a[1], b[1]) <= 18
+    close = lambda a, b: any(apart(x, y) <= 5 for x, y in zip(a[0], b[0], strict=True)) and apart(a[1], b[1]) <= 18
     cls = smallest(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if close(prints[i], prints[j])])
     lab = smallest(len(rows), [(i, j) for i, j in like_pairs(rows) if cls[i] == cls[j]])
     return [r for k, r in enumerate(rows) if lab[k] == k]
@@ -108,6 +108,15 @@ def test_stages_stand_odd_rows(spark, small):
         assert stage(spark, d.limit(0), small).count() == 0
 
 
+def test_columns_pass_through_whatever_their_names(spark, small):
+    names = ["row", "id", "hash", "key", "sha", "b", "component", "__row_id", "a.b"]
+    rows = [(1, "one text of some words here", *["mine"] * 9), (2, "another text that is unlike it", *["yours"] * 9)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, d, small)
+        assert out.columns == d.columns and sorted(map(tuple, out.collect())) == rows
+
+
 def test_near_dedup_judges_rows_on_their_own(spark, small):
     rows = [(None, prose(60, 100 + k)) for k in range(4)] + [(7, prose(60, 200 + k)) for k in range(3)]
     again = [(9, prose(60, 200).upper()), (None, prose(60, 100).upper()), (5, prose(60, 101).upper())]
@@ -149,7 +158,7 @@ def test_word_prints_reach_edited_copies():
 
     r = random.Random(5)
     text = lambda n: [vocabulary[min(int(r.expovariate(1 / 400)), 3999)] for _ in range(n)]
-    close = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(simhash.word_prints(a), simhash.word_prints(b), strict=True))
+    close = lambda a, b: any((x ^ y).bit_count() <= simhash.WORD_BITS for x, y in zip(simhash.word_prints(a), simhash.word_prints(b), strict=True))
     edits = more = 0
     for _ in range(200):
         w = text(300)
@@ -158,7 +167,7 @@ def test_word_prints_reach_edited_copies():
             e[k] = r.choice(vocabulary)
         edits += close(" ".join(w).encode(), " ".join(e).encode())
         more += close(" ".join(w).encode(), " ".join(w + text(30)).encode())
-    assert edits >= 0.9 * 200 and more >= 0.8 * 200
+    assert edits >= 0.95 * 200 and more >= 0.9 * 200
     assert not close(" ".join(text(300)).encode(), " ".join(text(300)).encode())
 
 
