@@ -170,30 +170,35 @@ def day_plans(stops: DataFrame, trip: str = "trip", start: int = 8 * 60, limit:
     return stops.groupBy(trip).applyInPandas(one, f"{trip} long, day int, place int, stop long, arrives double")
 
 
+#: Stops above which an exact day is not searched.
+EXACT_STOPS = 18
+
+
 def exact_day(stops: DataFrame, trip: str = "trip", limit: int = 10 * 60) -> DataFrame:
-    """(trip, best): most value of any round trip within limit, by dynamic programming over subsets; an error
-    for trips of more than 14 stops."""
+    """(trip, best): most value of any round trip within limit, without opening hours, by dynamic programming over the
+    subsets, a layer of equal size at once; null for trips of more than EXACT_STOPS stops. optimum.exact_plans() has
+    hours, lunch and several days."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > 14:
-            raise ValueError(f"trip {g[trip].iloc[0]} has {len(g)} stops; an exact day takes 14 at most")
         _, d, value, _ = _arrays(g, 0, limit)
         n = len(value) - 1
+        if n > EXACT_STOPS:
+            return pd.DataFrame({trip: [g[trip].iloc[0]], "best": [np.nan]})
         cost = np.full((1 << n, n), np.inf)
-        for s in range(n):
-            cost[1 << s, s] = d.travel[0, s + 1] + d.visit[s + 1]
-        for m in range(1, 1 << n):
-            for last in range(n):
-                if np.isfinite(cost[m, last]):
-                    step = cost[m, last] + d.travel[last + 1, 1:] + d.visit[1:]
-                    for s in range(n):
-                        if not m >> s & 1 and step[s] < cost[m | 1 << s, s]:
-                            cost[m | 1 << s, s] = step[s]
+        cost[1 << np.arange(n), np.arange(n)] = d.travel[0, 1:] + d.visit[1:]
+        masks = np.arange(1 << n)
+        size = np.bitwise_count(masks)
+        for layer in range(1, n):
+            own = masks[size == layer]
+            for s in range(n):
+                m = own[own >> s & 1 == 0]
+                cost[m | 1 << s, s] = (cost[m] + d.travel[1:, s + 1]).min(1) + d.visit[s + 1]
         done = (cost + d.travel[1:, 0]).min(1) <= limit
-        sums = np.array([sum(value[s + 1] for s in range(n) if m >> s & 1) for m in range(1 << n)])
+        sums = (masks[:, None] >> np.arange(n) & 1) @ value[1:]
         return pd.DataFrame({trip: [g[trip].iloc[0]], "best": [float(sums[done].max()) if done.any() else 0.0]})
 
-    return stops.groupBy(trip).applyInPandas(one, f"{trip} long, best double")
+    out = stops.groupBy(trip).applyInPandas(one, f"{trip} long, best double")
+    return out.withColumn("best", F.nanvl("best", F.lit(None).cast("double")))
 
 
 def visiting_orders(stops: DataFrame, trip: str = "trip") -> DataFrame:

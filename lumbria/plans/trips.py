@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import network as nw, trips as tr
+from ..operators import network as nw, optimum as op, trips as tr
 from ..streaming import log as st
 from .places import _LAT, _LON, _SQL, _hav, customers, suppliers
 from .relational import T
@@ -74,6 +74,7 @@ QUERIES = {
     "G9_town_cells": (lambda s, d: nw.town_cells(customers(s, d), 1.0, 6.0).select(c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), F.round("density", 6).alias("density")), f"{_SQL}, n AS (SELECT CAST(floor(lat) AS INT) AS y, CAST(floor(lon) AS INT) AS x, count(*) AS n FROM c GROUP BY ALL), o AS (SELECT unnest([-1, 0, 1]) AS k) SELECT y + p.k AS y, x + q.k AS x, round(sum(n) / 9, 6) AS density FROM n, o p, o q GROUP BY 1, 2 HAVING sum(n) / 9 >= 6"),
     "G14_day_plans": (lambda s, d: tr.day_plans(_stops(s, d)), None),
     "G16_exact_day": (lambda s, d: tr.exact_day(_stops(s, d)), None),
+    "G16_exact_plans": (lambda s, d: op.exact_plans(_stops(s, d)).select("trip", F.round("best", 6).alias("best"), F.round("bound", 6).alias("bound"), F.expr("aggregate(routes, 0L, (n, r) -> n + size(r))").alias("stops")), None),
     "G18_visiting_orders": (lambda s, d: tr.visiting_orders(_stops(s, d)), None),
     "G19_cost_bands": (_costs, None),
     "ST1_received": (lambda s, d: st.run_once(st.received(_events(s, d)), "received").select("event_id", (F.abs(F.unix_timestamp("received") - F.unix_timestamp(F.current_timestamp())) < 3600).alias("now")), "SELECT event_id, true AS now FROM events"),
