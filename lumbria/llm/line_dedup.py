@@ -20,6 +20,8 @@ MIN_POINTS = 10
 SLOTS = 4
 #: Keys of a shard, above which shards are split; shards that a store has at least; batches that a store is built in.
 KEYS, SHARDS, BATCHES = 100_000, 64, 2
+#: A line is hot if more documents hold it than this and than one of MOST_HOT parts of all postings.
+HOT, MOST_HOT = 1_000, 10_000
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -175,7 +177,8 @@ class LineStore:
     filter and the exact table key -> (documents, smallest document). Keys are dealt to shards by hash, and reference
     counts are aggregated before they are dealt, so a line that a third of all documents hold is one row. A store is
     built by inserting its documents in batches. insert() and delete() return a new store; the older one stays valid, and
-    deleting what was inserted restores it. Shards are split in two as often as their keys outgrow keys_per_shard.
+    deleting what was inserted restores it. Shards are split in two, before a batch is merged, as often as its keys and
+    those held would outgrow keys_per_shard.
     A document is its id: rows that repeat an id are one holder. A null id counts as the largest. Null text: one empty
     line. Empty tables give empty stores.
     """
@@ -201,16 +204,16 @@ class LineStore:
         return materialised(self.state.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(_merge, _STATE), "line-state")
 
     def _with(self, new: DataFrame) -> LineStore:
-        """The store after references that it doesn't hold yet."""
+        """The store after references that it doesn't hold yet. Shards are made for what they will hold before it comes."""
         gained = new.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc"))
-        out = LineStore(self.postings.unionByName(new), self._next(gained.withColumn("reset", F.lit(False))), self.shards, self.keys_per_shard)
-        return out._split()
+        gained = materialised(gained.withColumn("reset", F.lit(False)), "line-gains")
+        room = self._sized(self.counts().count() + gained.count())
+        return LineStore(self.postings.unionByName(new), room._next(gained), room.shards, self.keys_per_shard)
 
-    def _split(self) -> LineStore:
-        """Twice as many shards, and again, until their keys are within bounds; filters are built anew."""
-        n = self.counts().count()
+    def _sized(self, keys: int) -> LineStore:
+        """Twice as many shards, and again, until so many keys are within bounds; filters are built anew."""
         shards = self.shards
-        while n > shards * self.keys_per_shard:
+        while keys > shards * self.keys_per_shard:
             shards *= 2
         if shards == self.shards:
             return self
@@ -237,12 +240,22 @@ class LineStore:
     def counts(self) -> DataFrame:
         return self.state.where("key is not null").select("key", "n_docs", "min_doc")
 
+    def _shared(self, min_docs: int) -> DataFrame:
+        """(key, doc_id, n_docs, min_doc) of the keys that min_docs documents hold. Keys of a large part of all postings,
+        of which there are at most MOST_HOT, are broadcast, so that none of them is one task's."""
+        shared = self.counts().where(F.col("n_docs") >= min_docs)
+        most = max(HOT, -(-self.postings.count() // MOST_HOT))
+        hot = materialised(shared.where(F.col("n_docs") > most), "hot-lines")
+        if hot.isEmpty():
+            return self.postings.join(shared, "key")
+        rest = self.postings.join(F.broadcast(hot.select("key")), "key", "left_anti").join(shared.where(F.col("n_docs") <= most), "key")
+        return self.postings.join(F.broadcast(hot), "key").unionByName(rest)
+
     def kept(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2) -> DataFrame:
         """Per row of docs: doc_id, n_lines, n_dropped and kept_text. A key that min_docs documents hold loses all its
         lines but those of the smallest document."""
         small_batches(docs)
-        shared = self.counts().where(F.col("n_docs") >= min_docs)
-        drops = self.postings.join(shared, "key").where("doc_id <> min_doc").select("doc_id", "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+        drops = self._shared(min_docs).where("doc_id <> min_doc").select("doc_id", "key").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
         rows = pick(docs, id_col, text_col).join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "drop")
         out = rows.mapInArrow(trimmed(_cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
         return out.withColumn("doc_id", id_out(F.col("doc_id")))

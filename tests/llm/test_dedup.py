@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumbria.llm import exact_dedup, line_dedup, simhash, suffix_dedup
 
@@ -280,3 +281,28 @@ def test_line_store_splits_its_shards(spark):
     assert store.shards > line_dedup.SHARDS
     assert store.counts().count() == 401 and store.state.where("key IS NOT NULL").groupBy("key").count().where("count > 1").isEmpty()
     assert kept_lines(store, docs(spark, rows)) == lines_expected(raw(rows))
+
+
+def test_line_store_splits_before_it_merges(spark, monkeypatch):
+    """No shard's task gets more keys than its bound, but for the hash's spread."""
+    most, merges = 20, []
+    held = line_dedup.LineStore._next
+
+    def watched(store, delta):
+        both = delta.select("key").unionByName(store.counts().select("key")).distinct()
+        merges.append(both.groupBy(line_dedup._shard(store.shards).alias("s")).count().agg(F.max("count")).first()[0] or 0)
+        return held(store, delta)
+
+    monkeypatch.setattr(line_dedup.LineStore, "_next", watched)
+    rows = [(k, "\n".join(f"line {k} {j} of many others" for j in range(10))) for k in range(600)]
+    store = line_dedup.LineStore.of(docs(spark, rows), keys_per_shard=most)
+    assert store.counts().count() == 6000 and store.shards == 512
+    assert len(merges) >= 2 and max(merges) <= 2.5 * most
+
+
+def test_hot_lines_are_broadcast(spark, monkeypatch):
+    rows = [(k, f"a line that every document holds\nown line number {k}\nshared by two of them {k // 2}") for k in range(40)]
+    store = line_dedup.LineStore.of(docs(spark, rows))
+    want = kept_lines(store, docs(spark, rows))
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    assert kept_lines(store, docs(spark, rows)) == want and sum(r[2] for r in want) == 39 + 20
