@@ -73,8 +73,9 @@ def runs(data: np.ndarray, off: np.ndarray, match: int = MATCH) -> tuple[np.ndar
     return at[begin], np.diff(np.r_[begin, len(at)]), g[first[at[begin]]]
 
 
-def _anchors(match: int):
-    names = ["doc_id", "th", "p", "c", "key", "h"]
+def _anchors(match: int, keys_only: bool = False):
+    """The runs of all texts; keys_only: no more of them than their anchors."""
+    names = ["key"] if keys_only else ["doc_id", "th", "p", "c", "key", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,6 +88,9 @@ def _anchors(match: int):
                     d = whole[s : s + PART + match - 1] if len(parts) > 1 else whole
                     o = np.array([0, len(d)]) if len(parts) > 1 else off[i : j + 1] - off[i]
                     p, c, key = runs(d, o, match)
+                    if keys_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=names)
+                        continue
                     text = np.searchsorted(o, p, side="right") - 1
                     end = p + c + match - 1
                     cols = [ids[i + text], th[i + text], p - o[text] + s, c, key.view(np.int64), span_hashes(_VALUE[d], p, end).view(np.int64)]
@@ -268,14 +272,16 @@ def _cut(match: int):
             out = []
             for k, i in enumerate(b.column(0).to_pylist()):
                 d = data[off[k] : off[k + 1]]
-                cover = np.zeros(len(d) + 1, np.int64)
+                begin = end = np.zeros(0, np.int64)
                 got = spans[k]
                 if got.is_valid and len(got):
-                    s, n = (got.values.field(f).to_numpy(zero_copy_only=False) for f in ("s", "n"))
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, s + n + match - 1, -1)
-                gone = np.cumsum(cover)[: len(d)] > 0
-                out.append((i, len(d), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) > 0)), d[~gone].tobytes()))
+                    s, n = (got.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("s", "n"))
+                    order = np.argsort(s, kind="stable")
+                    s, e = s[order], np.maximum.accumulate((s + n + match - 1)[order])
+                    apart = np.flatnonzero(s[1:] > e[:-1])
+                    begin, end = s[np.r_[0, apart + 1]], e[np.r_[apart, len(e) - 1]]
+                kept = b"".join(d[x:y].tobytes() for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(d)], strict=True))
+                out.append((i, len(d), len(d) - len(kept), len(begin), kept))
             cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "kept" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
 
@@ -291,14 +297,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share the verdict, so that thousands of copies cost two. Anchors with over
     HOT_RUNS different runs are dealt by window instead, and equal windows meet one by one. Texts travel once: the
     exchange by id serves both the runs' bytes and the result. Null texts are empty; rows that repeat id and text
-    count as two places; texts shorter than match stay whole; a null id counts as the largest.
+    count as two places; texts shorter than match stay whole; a null id counts as the largest; an empty table gives an
+    empty one. A long text is cut into overlapping parts for its anchors, some 60 bytes a byte of a part; besides, a task
+    holds it twice, and the spans that go.
     """
     if match % 8 or match < GRAM + 8:
         raise ValueError("match: a multiple of 8, at least 40")
     small_batches(docs)
     d = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
     a = d.mapInArrow(trimmed(_anchors(match)), "doc_id long, th long, p int, c int, key long, h long")
-    many = materialised(a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "anchors")
+    keys = d.select("doc_id", "th", "text").mapInArrow(trimmed(_anchors(match, keys_only=True)), "key long")
+    many = materialised(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "anchors")
     release(docs.sparkSession)
     some = materialised(a.join(many, "key", "left_semi"), "runs")
     release(docs.sparkSession)
