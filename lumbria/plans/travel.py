@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins as j, reports as rp, search as se, sky, zones as zo
+from ..operators import joins as j, planned as pl, reports as rp, search as se, sky, zones as zo
 from ..session import scratch
 from .places import _SQL, _hav, customers, suppliers
 from .relational import T
@@ -82,6 +82,20 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query, base ORDER BY score DESC,
 p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, zone) AS place FROM b WHERE r = 1)
 SELECT query, CAST(place AS INT) AS place, zone, base, CAST(minutes AS BIGINT) AS minutes, by_air, planned, score FROM p WHERE place <= 3"""
 
+def with_places(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """zones() and stops() with places, hours and kinds: a zone's stops lie within some 30 km of its base."""
+    z = zones(s, d).withColumns({"base_lat": -12 + c("zone") % 40 * 0.1, "base_lon": -77 + c("zone") % 7 * 0.2})
+    at = lambda base, step, k: F.lit(base) + c("zone") % step[0] * step[1] + ((c("stop") * k) % 50 - 25) * 0.01
+    t = stops(s, d).withColumns({"lat": at(-12.0, (40, 0.1), 7), "lon": at(-77.0, (7, 0.2), 13), "opens": (c("stop") % 3 * 60 + 420).cast("double"), "closes": (960 + c("stop") % 4 * 60).cast("double"), "kind": F.concat(F.lit("k"), c("stop") % 6)})
+    return z, t
+
+
+def _planned_trips(s: SparkSession, d: str) -> DataFrame:
+    z, t = with_places(s, d)
+    trips, _ = pl.planned_trips(questions(s, d), z, access(s, d), t, seasons(s, d))
+    return trips.select("query", "place", "zone", "base", "score", F.expr("aggregate(routes, 0, (n, r) -> n + size(r))").alias("stops"))
+
+
 def _relaxed(s: SparkSession, d: str) -> DataFrame:
     """Some questions ask for what there isn't: to stay under the sea, or very low within two days."""
     q = questions(s, d).withColumn("max_altitude", F.when(c("query") % 5 == 0, -1).when(c("query") % 5 == 1, 150).otherwise(c("max_altitude")))
@@ -328,6 +342,7 @@ QUERIES = {
     "P14_feasible_zones": (lambda s, d: _with(se.judged)(s, d).where("reason IS NULL").select("query", "zone", "by_air", c("minutes").cast("long").alias("minutes"), c("visit_minutes").cast("long").alias("visit_minutes")), f"WITH {_Q}, {_Z}, {_judged('q')} SELECT query, zone, by_air, CAST(minutes AS BIGINT) AS minutes, CAST(greatest(visits, 0) AS BIGINT) AS visit_minutes FROM g WHERE reason IS NULL"),
     "P15_free_photos": (_photo_ok, "SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_size * 40 >= 800 AND p_partkey % 9 <> 0 AND p_partkey % 5 IN (0, 1, 3) AND (p_partkey % 5 IN (1, 3) OR p_partkey % 4 <> 0)"),
     "G38_trips": (_trips, _TRIPS),
+    "G38_planned_trips": (_planned_trips, None),
     "G40_relaxation": (_relaxed, _RELAXED),
     "G41_destination_reason": (lambda s, d: _with(se.judged)(s, d).where("reason IS NOT NULL").select("query", "zone", "reason"), f"WITH {_Q}, {_Z}, {_judged('q')} SELECT query, zone, reason FROM g WHERE reason IS NOT NULL"),
     "G42_warnings_merits": (_warned, _warned_sql()),
