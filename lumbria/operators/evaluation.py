@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 #: Grades from which a proposal is recommendable, and under which it doesn't fit.
 GOOD, POOR = 1.5, 0.5
 
@@ -87,6 +92,59 @@ def compared(pairs: DataFrame, a: str, b: str, times: int = 10_000, seed: int =
     return pairs.select(a, b).groupBy(F.lit(1).alias("_g")).applyInPandas(lambda k, p: one(p), "mean double, low double, high double, wins long, losses long, ties long, wilcoxon_p double")
 
 
+def _replicates(times: int, seed: int):
+    """Sums under Poisson weights: (replicate, weight, total) of all rows (h, d), h a row's own hash."""
+    # Chances of 0, 1, 2, ... draws of a row, of which all but 1e-12 are under 16.
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(times), np.zeros(times)
+        salt = np.random.default_rng(seed).integers(1, 2**63, times, dtype=np.uint64)
+        for b in batches:
+            h, d = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for s in range(0, len(h), 512):
+                x = h[s : s + 512, None] ^ salt
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                w = np.searchsorted(steps, (x >> np.uint64(11)) / float(1 << 53), side="right")
+                weight += w.sum(0)
+                total += d[s : s + 512] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), pa.array(weight), pa.array(total)], names=["replicate", "weight", "total"])
+
+    return run
+
+
+def bootstrap_interval(rows: DataFrame, key: list[str], value: str, times: int = 1000, share: float = 0.95, seed: int = 12) -> DataFrame:
+    """(low, high): the interval of the mean that holds share of its bootstrap replicates, over any number of rows.
+
+    Instead of drawing rows, each row counts as often in a replicate as a Poisson draw of mean one says, which a hash of
+    its key decides: one pass, a task gives `times` sums, and rows never meet. Null values don't count; rows that share
+    a key are drawn together. Without rows both are null."""
+    d = rows.select(F.xxhash64(*key).alias("h"), F.col(value).cast("double").alias("d")).where("d IS NOT NULL")
+    means = d.mapInArrow(_replicates(times, seed), "replicate long, weight double, total double").groupBy("replicate").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
+    tail = (1 - share) / 2
+    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+
+
+def signed_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """(n, mean, wins, losses, ties, w_plus, z) of differences: of those other than 0 the sum of the positive ones' ranks by
+    size, equal ones sharing theirs, and how many standard deviations it lies off what no difference would give.
+
+    Equal sizes are counted first. Their counts are summed up along ranges of sizes, each range's own by itself, and only
+    the ranges' totals are summed up together: no task sees all rows. z is null under six differences."""
+    d = rows.select(F.col(value).cast("double").alias("d")).where("d IS NOT NULL")
+    sizes = d.where("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
+    sizes = materialised(sizes.repartitionByRange("size").withColumn("part", F.spark_partition_id()), "sizes")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(before().orderBy("part")), F.lit(0)).alias("start"))
+    ranked = sizes.join(F.broadcast(starts), "part").withColumn("low", F.col("start") + F.coalesce(F.sum("n").over(before("part").orderBy("size")), F.lit(0)))
+    w = ranked.agg(F.coalesce(F.sum(F.col("up") * (F.col("low") + (F.col("n") + 1) / 2)), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("m"), F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0.0)).alias("same"))
+    all_ = d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
+    m = F.col("m")
+    spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("same") / 48)
+    return all_.crossJoin(w).select("n", "mean", "wins", "losses", "ties", "w_plus", F.when((m >= 6) & (spread > 0), (F.col("w_plus") - m * (m + 1) / 4) / spread).alias("z"))
+
+
 def triangle_excess(edges: DataFrame, group: str) -> DataFrame:
     """Per group the most by which a way a-c exceeds a-b-c; edges (group, src, dst, cost), groups bounded by nature."""
     ab, bc, ac = (edges.select(group, F.col("src").alias(s), F.col("dst").alias(d), F.col("cost").alias(c)) for s, d, c in (("a", "b", "x"), ("b", "c", "y"), ("a", "c", "z")))

@@ -99,6 +99,8 @@ QUERIES = {
     "G30_fleiss_kappa": (lambda s, d: ev.fleiss_kappa(_raters(s, d)).select(F.round("kappa", 9).alias("kappa")), f"WITH {_RATERS}, n AS (SELECT unit, grade, count(*)::DOUBLE AS n FROM r GROUP BY ALL), p AS (SELECT avg(s) AS p FROM (SELECT sum(n * (n - 1)) / 6 AS s FROM n GROUP BY unit)), e AS (SELECT sum(pow(c / t, 2)) AS e FROM (SELECT sum(n) AS c, (SELECT sum(n) FROM n) AS t FROM n GROUP BY grade)) SELECT round((p - e) / (1 - e), 9) AS kappa FROM p, e"),
     "G30_krippendorff_nominal": (lambda s, d: ev.krippendorff_alpha(_raters(s, d), ordinal=False).select(F.round("alpha", 9).alias("alpha")), f"WITH {_RATERS}, n AS (SELECT unit, grade, count(*)::DOUBLE AS n FROM r GROUP BY ALL), o AS (SELECT sum((3 - n) * n / 2) AS o FROM n), m AS (SELECT sum(n) AS c FROM n GROUP BY grade), e AS (SELECT pow(sum(c), 2) - sum(c * c) AS e, sum(c) AS t FROM m) SELECT round(1 - (t - 1) * o / e, 9) AS alpha FROM o, e"),
     "G30_krippendorff_ordinal": (lambda s, d: ev.krippendorff_alpha(_raters(s, d)).select(F.round("alpha", 9).alias("alpha")), f"WITH {_RATERS}, n AS (SELECT unit, grade, count(*)::DOUBLE AS n FROM r GROUP BY ALL), o AS (SELECT a.grade AS c, b.grade AS k, sum(CASE WHEN a.grade = b.grade THEN a.n * (a.n - 1) ELSE a.n * b.n END) / 2 AS o FROM n a JOIN n b USING (unit) GROUP BY 1, 2), v AS (SELECT grade, sum(n) AS n FROM n GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY grade) AS s FROM v), g AS (SELECT x.grade AS c, y.grade AS k, x.n AS nc, y.n AS nk, CASE WHEN x.grade = y.grade THEN 0 ELSE pow(CASE WHEN x.s <= y.s THEN y.s - x.s + x.n ELSE x.s - y.s + y.n END - (x.n + y.n) / 2, 2) END AS d FROM s x, s y) SELECT round(1 - ((SELECT sum(n) FROM v) - 1) * sum(coalesce(o, 0) * d) / sum(nc * nk * d), 9) AS alpha FROM g LEFT JOIN o USING (c, k)"),
+    "G29_signed_ranks": (lambda s, d: ev.signed_ranks(T(s, d, "lineitem").withColumn("d", c("l_tax") - c("l_discount")), "d").select("n", F.round("mean", 9).alias("mean"), "wins", "losses", "ties", "w_plus", F.round("z", 6).alias("z")), "WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem), r AS (SELECT *, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2::DOUBLE AS rk, count(*) OVER (PARTITION BY abs(d)) AS t FROM d WHERE d <> 0), w AS (SELECT sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, count(*)::DOUBLE AS m, sum(t::DOUBLE * t - 1) AS same FROM r) SELECT count(*) AS n, round(avg(d), 9) AS mean, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, any_value(w_plus) AS w_plus, round(any_value((w_plus - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - same / 48)), 6) AS z FROM d, w"),
+    "G29_bootstrap": (lambda s, d: ev.bootstrap_interval(T(s, d, "lineitem").withColumn("d", c("l_tax") - c("l_discount")), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "d"), None),
     "G29_compared": (lambda s, d: ev.compared(T(s, d, "nation").select((c("n_nationkey") % 5).cast("double").alias("a"), (c("n_nationkey") * 7 % 4).cast("double").alias("b")), "a", "b", times=2000), None),
     "G31_triangle": (lambda s, d: ev.triangle_excess(T(s, d, "lineitem").select((c("l_orderkey") % 5).alias("g"), (c("l_partkey") % 8).alias("src"), (c("l_suppkey") % 8).alias("dst"), "l_quantity").where("src <> dst").groupBy("g", "src", "dst").agg(F.min("l_quantity").alias("cost")), "g"), "WITH e AS (SELECT l_orderkey % 5 AS g, l_partkey % 8 AS s, l_suppkey % 8 AS d, min(l_quantity) AS c FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8 GROUP BY ALL) SELECT a.g, max(z.c - a.c - b.c) AS excess FROM e a JOIN e b ON a.g = b.g AND a.d = b.s JOIN e z ON z.g = a.g AND z.s = a.s AND z.d = b.d GROUP BY 1"),
     "A35_usability": (lambda s, d: T(s, d, "part").select("p_partkey", ev.sus_score([((c("p_partkey") * (k + 3)) % 5 + 1) for k in range(10)]).alias("score")), "SELECT p_partkey, (" + " + ".join(f"((p_partkey * {k + 3}) % 5)" if k % 2 == 0 else f"(4 - (p_partkey * {k + 3}) % 5)" for k in range(10)) + ") * 2.5::DOUBLE AS score FROM part"),
