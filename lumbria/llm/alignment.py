@@ -227,8 +227,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     table = interned(docs, a_path, b_path, id_col, text_col, block_bytes)
     groups, links = link_counts(table, weight)
     spread = links.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = groups.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["a", "b", "salt"]).select("key", "count", F.col("best").cast("long").alias("best"))
-    values = table.where("key IS NOT NULL").select("block", "part", "key").join(known, "key").select(F.col("block").alias("of"), "part", "count", "best")
+    known = groups.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["a", "b", "salt"]).select("key", "count", F.col("best").cast("long").alias("best"))
+    values = table.where("key IS NOT NULL").select("block", "part", "key").join(known.hint("merge"), "key").select(F.col("block").alias("of"), "part", "count", "best")
     rows = table.where("key IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "parts", "times")
     out = rows.groupBy("block").cogroup(values.groupBy("of")).applyInArrow(_summed, _OUT)
     return out.withColumn("doc_id", id_out(F.col("doc_id")))
