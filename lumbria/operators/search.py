@@ -112,6 +112,32 @@ def relaxed(queries: DataFrame, zones: DataFrame, access: DataFrame, stops: Data
     return found.withColumn("_r", F.row_number().over(fewest)).where("_r = 1").drop("_r")
 
 
+def relaxed_twice(queries: DataFrame, zones: DataFrame, access: DataFrame, stops: DataFrame) -> DataFrame:
+    """For every question without a trip that no single change gives one, each change of two fields that does: (query, field,
+    other, days, zones). Fields as for relaxed(), days the fewest more that do, and always named first."""
+    none = judged(queries, zones, access, stops).groupBy("query").agg(F.count_if(F.col("reason").isNull()).alias("n")).where("n = 0").select("query")
+    once = relaxed(queries, zones, access, stops).select("query").distinct()
+    q = queries.join(none, "query", "left_semi").join(once, "query", "left_anti")
+    changes = {"by_land": (F.col("by_land"), F.lit(False)), "max_altitude": (F.col("max_altitude").isNotNull(), F.lit(None).cast("int")), "surprise": (F.col("surprise"), F.lit(False))}
+    names = [*changes]
+    now = {"days": F.col("days").cast("int"), "by_land": F.col("by_land"), "max_altitude": F.col("max_altitude").cast("int"), "surprise": F.col("surprise")}
+
+    def variant(field: str, other: str, **new: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), F.lit(other).alias("other"), *((new.get(k, v)).alias(k) for k, v in now.items()))
+
+    longer = F.when(F.col("days") < DAYS_MOST, F.sequence((F.col("days") + 1).cast("int"), F.lit(DAYS_MOST))).otherwise(F.array().cast("array<int>"))
+
+    def with_days(x: str) -> Column:
+        return F.when(changes[x][0], F.transform(longer, lambda d: variant("days", x, days=d, **{x: changes[x][1]})))
+
+    both = [F.when(changes[x][0] & changes[y][0], F.array(variant(x, y, **{x: changes[x][1], y: changes[y][1]}))) for k, x in enumerate(names) for y in names[k + 1 :]]
+    v = q.withColumn("_v", F.explode(F.flatten(F.array_compact(F.array(*map(with_days, names), *both)))))
+    v = v.select(F.struct("query", "_v.field", "_v.other", "_v.days").alias("query"), "origin", "month", "interests", "budget", *(F.col(f"_v.{k}").alias(k) for k in now))
+    found = judged(v, zones, access, stops).where("reason IS NULL").groupBy("query").agg(F.count(F.lit(1)).alias("zones")).select("query.*", "zones")
+    fewest = Window.partitionBy("query", "field", "other").orderBy("days")
+    return found.withColumn("_r", F.row_number().over(fewest)).where("_r = 1").drop("_r")
+
+
 #: Warnings in their fixed order: name and the condition on columns of a trip.
 WARNINGS: tuple[tuple[str, str], ...] = (
     ("safety", "unsafe_zone IS NOT NULL"),
