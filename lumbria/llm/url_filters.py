@@ -6,8 +6,9 @@ DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -60,67 +61,80 @@ class Tree:
 
     A branch stands apart if it has `labels` labelled urls or more and its share of good ones differs from that of its
     siblings together by more than `z` standard errors. Of a node's branches, those that don't stand apart are one
-    wildcard, and those that do are one where their shares fall into the same of `bands` bands: they are alike, though
-    not like the rest. Variable segments, such as numbers, have few labels each and so are generalised; a large branch
-    of another kind among them is not. Purity is the share of good urls, smoothed by `weight` urls of the host's own
-    smoothed purity, which is smoothed by as many of the corpus's. Templates under `least` are rejected. Segments beyond
-    `depth` are one.
+    wildcard. Those that do are taken by their shares: while one is not apart from the one before by the same test of two
+    proportions, both are one, since they are alike, though not like the rest. Variable segments, such as numbers, have
+    few labels each and so are generalised; a large branch of another kind among them is not. Purity is the share of good
+    urls, smoothed by `weight` urls of the host's own smoothed purity, which is smoothed by as many of the corpus's.
+    Templates under `least` are rejected. Paths may be of any depth.
     """
 
     labels: int = 8
     z: float = 2.0
-    bands: int = 5
     weight: float = 4.0
     least: float = 0.5
-    depth: int = 8
 
 
-#: Parts that the branches of one node are spread over, so that no task has all of a large node's.
-SPREAD = 16
+#: Parts that rows of one key are spread over where what they are joined with is too large to be broadcast, and that size.
+SPREAD, BROADCAST_BYTES = 16, 8 << 20
+
+
+def looked_up(rows: DataFrame, small: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """rows, left joined with small, which has a row per key and is read more than once. Broadcast if its counted size
+    allows it; else each of its rows meets SPREAD parts of its key's rows, which are told by the column spread."""
+    texts = [F.length(c) for c, kind in small.dtypes if kind == "string"]
+    size = small.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on, "left")
+    every = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int")).join(every, [*on, "_part"], "left").drop("_part")
 
 
 def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """(host, path, template, n, lab, fine) of the distinct paths of urls (host, path, good 1/0/null).
 
-    Only distinct paths with their counts walk down the tree, level by level. At each, counts per (host, template so far,
-    segment) are compared with those of their node, and only the decisions go back to the paths.
+    Only distinct paths with their counts walk down the tree, level by level. Nothing stands apart at or below a node of
+    `labels` labelled urls or fewer, so its paths are settled there, each deeper segment a wildcard: the rounds go as deep
+    as well-labelled nodes do, not as deep as the longest path.
     """
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    tail = F.concat_ws("/", F.slice("_p", tree.depth, 1 << 20))
-    segs = F.when(F.size("_p") > tree.depth, F.concat(F.slice("_p", 1, tree.depth - 1), F.array(tail))).otherwise(F.col("_p"))
     rows = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"), F.coalesce(F.sum("good"), F.lit(0)).alias("fine"))
-    rows = materialised(rows.withColumn("_p", parts).withColumn("segs", segs).drop("_p").withColumn("template", F.lit("")), "paths")
-    levels = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(levels):
-        rows = rows.withColumn("seg", F.get("segs", F.lit(d)))
-        chosen = _branches(rows.where("seg IS NOT NULL"), tree)
-        rows = rows.join(chosen, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
-        rows = rows.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_as"))).drop("_h", "_t", "_s", "_as", "seg")
-        rows = materialised(rows, "paths")
-    return rows.drop("segs")
-
-
-def _branches(rows: DataFrame, tree: Tree) -> DataFrame:
-    """(_h, _t, _s, _as): what each segment of each node is called in its paths' templates."""
-    child = rows.groupBy("host", "template", "seg").agg(F.sum("lab").alias("lab"), F.sum("fine").alias("fine")).withColumn("_x", F.pmod(F.xxhash64("seg"), F.lit(SPREAD)))
-    child = materialised(child, "branches")
-    part = child.groupBy("host", "template", "_x").agg(F.sum("lab").alias("l"), F.sum("fine").alias("f"))
-    node = part.groupBy("host", "template").agg(F.sum("l").alias("all_l"), F.sum("f").alias("all_f"))
-    node = part.select("host", "template", "_x").join(node, ["host", "template"])
-    lab, fine, l, f = F.col("lab"), F.col("fine"), F.col("all_l"), F.col("all_f")
-    pooled = (f + 1) / (l + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), lab) + F.try_divide(F.lit(1.0), l - lab)))
-    gap = F.abs(F.try_divide(fine, lab) - F.try_divide(f - fine, l - lab))
-    apart = (lab >= tree.labels) & (l > lab) & F.coalesce(gap > tree.z * error, F.lit(False))
-    band = F.least(F.floor(F.try_divide(fine, lab) * tree.bands), F.lit(tree.bands - 1))
-    child = child.join(node, ["host", "template", "_x"]).withColumn("band", F.when(apart, band))
-    child = child.select("host", "template", "seg", "band")
-    special = child.where("band IS NOT NULL")
-    alike = special.groupBy("host", "template", "band").agg(F.count(F.lit(1)).alias("k"))
-    name = F.when(F.col("k") > 1, F.concat(F.lit("*"), F.col("band").cast("string"))).otherwise(F.col("seg"))
-    named = special.join(alike, ["host", "template", "band"]).select("host", "template", "seg", name.alias("_as"))
-    named = named.unionByName(child.where("band IS NULL").select("host", "template", "seg", F.lit("*").alias("_as")))
-    return named.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), "_as")
+    rows = rows.withColumn("segs", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
+    live, settled, d = materialised(rows, "paths"), [], 0
+    keep = ["host", "path", "n", "lab", "fine", "segs", "template"]
+    while not live.isEmpty():
+        below = live.withColumn("seg", F.get("segs", F.lit(d)))
+        node = below.where("seg IS NOT NULL").groupBy("host", "template").agg(F.sum("lab").alias("all_l"), F.sum("fine").alias("all_f"))
+        below = looked_up(below, materialised(node.where(F.col("all_l") > tree.labels), "nodes"), ["host", "template"], "path")
+        busy = F.col("seg").isNotNull() & F.col("all_l").isNotNull()
+        below = looked_up(below, materialised(_apart(below.where(busy), tree), "branches"), ["host", "template", "seg"], "path")
+        name = F.when(busy, F.concat("template", F.lit("/"), F.coalesce("_as", F.lit("*")))).otherwise(F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segs") - d, F.lit(0)))))
+        below = materialised(below.withColumn("template", name).select(*keep, (~busy).alias("_settled")), "paths")
+        settled.append(below.where("_settled").select(*keep))
+        live, d = below.where("NOT _settled").select(*keep), d + 1
+    return reduce(DataFrame.unionByName, settled, live).drop("segs")
+
+
+def _differ(l1: Column, f1: Column, l2: Column, f2: Column, pooled: Column, z: float) -> Column:
+    """Whether f1 of l1 and f2 of l2 are shares more than z standard errors apart."""
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), l1) + F.try_divide(F.lit(1.0), l2)))
+    return F.coalesce(F.abs(F.try_divide(f1, l1) - F.try_divide(f2, l2)) > z * error, F.lit(False))
+
+
+def _apart(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(host, template, seg, _as): what segments that stand apart from their siblings are called in templates."""
+    keys, l, f = ["host", "template"], F.col("all_l"), F.col("all_f")
+    child = rows.groupBy(*keys, "seg").agg(F.sum("lab").alias("lab"), F.sum("fine").alias("fine"), F.max("all_l").alias("all_l"), F.max("all_f").alias("all_f"))
+    child = child.where((F.col("lab") >= tree.labels) & (l > F.col("lab")))
+    child = child.where(_differ(F.col("lab"), F.col("fine"), l - F.col("lab"), f - F.col("fine"), (f + 1) / (l + 2), tree.z))
+    child = materialised(child.select(*keys, "seg", "lab", "fine"), "apart")
+    # Branches of equal counts are one row here, so a node of many branches is a short list.
+    shares = child.groupBy(*keys, "lab", "fine").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*keys).orderBy(F.col("fine") / F.col("lab"), "lab")
+    l0, f0 = F.lag("lab").over(w), F.lag("fine").over(w)
+    new = _differ(F.col("lab"), F.col("fine"), l0, f0, (F.col("fine") + f0 + 1) / (F.col("lab") + l0 + 2), tree.z)
+    shares = shares.withColumn("_new", new.cast("int")).withColumn("alike", F.sum("_new").over(w))
+    shares = shares.withColumn("k", F.sum("k").over(Window.partitionBy(*keys, "alike")))
+    name = F.when(F.col("k") > 1, F.concat(F.lit("*"), F.col("alike").cast("string"))).otherwise(F.col("seg"))
+    return child.join(shares, [*keys, "lab", "fine"]).select(*keys, "seg", name.alias("_as"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> DataFrame:
@@ -128,7 +142,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
 
     labels: (id, good), good 1 or 0; several of one id: the worst counts. A url that no rule fits is blocked if its
     template's smoothed purity is under tree.least. Urls without labels anywhere near have the corpus's purity. Null
-    urls, and urls without ://, have an empty host and path and are judged as one template. Repeated rows stay.
+    urls, and urls without ://, have an empty host and path and are judged as one template. Repeated rows stay; an empty
+    table gives none. Only the two named columns of pages are read.
     """
     url = F.col("_u")
     lab = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(labels.columns[1]).alias("_g")).where("_id is not null").groupBy("_id").agg(F.min("_g").cast("int").alias("good"))
@@ -143,8 +158,9 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     w = F.lit(tree.weight)
     host_purity = (F.col("hf") + w * F.lit(min(prior, 1.0))) / (F.col("hl") + w)
     purity = (F.col("fine") + w * F.col("hp")) / (F.col("lab") + w)
-    known = by_template.join(by_host.select(F.col("host"), host_purity.alias("hp")), "host").select(F.col("host").alias("_h"), F.col("template").alias("_t"), purity.alias("purity"), F.col("lab").alias("n_labelled"))
-    paths = paths.select("host", "path", "template").join(known, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t")
+    hosts = materialised(by_host.select("host", host_purity.alias("hp")), "hosts")
+    known = looked_up(by_template, hosts, ["host"], "template").select("host", "template", purity.alias("purity"), F.col("lab").alias("n_labelled"))
+    paths = looked_up(paths.select("host", "path", "template"), materialised(known, "templates"), ["host", "template"], "path")
     rows = rows.join(paths, ["host", "path"]).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     action = F.lit(None).cast("string")
     for r in rules:
