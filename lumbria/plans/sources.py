@@ -21,7 +21,7 @@ def _sniffed(s: SparkSession, d: str) -> DataFrame:
     s.conf.set("spark.sql.legacy.javaCharsets", "true")
     p = T(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" ñandú")).alias("p_name"), "p_size")
     for k, (sep, encoding) in enumerate(((";", "windows-1252"), (",", "utf-8"), ("\t", "utf-8"))):
-        p.where(c("p_partkey") % 3 == k).coalesce(1).write.mode("append").csv(path, sep=sep, encoding=encoding, header=True, lineSep="\n")
+        p.where(c("p_partkey") % 3 == k).write.mode("append").csv(path, sep=sep, encoding=encoding, header=True, lineSep="\n")
     return files.read_sniffed(s, f"{path}/*.csv").select(F.col("cells.p_partkey").cast("long").alias("p_partkey"), F.col("cells.p_name").alias("p_name"), F.col("cells.p_size").cast("int").alias("p_size"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,33 +71,51 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, cells) of headed CSV files whose encoding and separator are told from each file: UTF-8 with or without
-    a BOM, else Windows-1252; of semicolon, comma and tab the one that the header has most of. cells maps the header's
-    names to the row's values; a file is parsed by one task, so files should be of ordinary size."""
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, header) of headed CSV files: UTF-8 if all lines are, else Windows-1252. Lines are read wherever the
+    files' blocks are, as bytes; a header is the first line of its file's first block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    head = F.min_by(F.when(F.col("at") == 0, F.col("value").cast("binary")), F.when(F.col("at") == 0, F.col("n")))
+    return lines.groupBy("file").agg(F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("windows-1252").alias("encoding"), head.alias("header"))
+
+
+def read_sniffed(spark: SparkSession, path: str, quoted_lines: bool = True) -> DataFrame:
+    """(file, place, cells, odd) of headed CSV files whose encoding and separator are told from each file: UTF-8 with or
+    without a BOM, else Windows-1252; of semicolon, comma and tab the one that the header has most of.
+
+    cells maps the header's names to the row's values, place rises along a file, and odd is the raw row where its cells
+    aren't as many as the header's. Files alike are read together by Spark's own reader. quoted_lines: values may span
+    lines, which makes a file one task, though never held whole; else a large file is split. Empty files have no rows.
+    """
+    kinds: dict[tuple[str, str, tuple[str, ...]], list[str]] = {}
+    for r in sniffed(spark, path).toLocalIterator():  # a row a file
+        head = bytes(r.header or b"").decode("utf-8-sig" if r.encoding == "utf-8" else "cp1252", errors="replace")
+        sep = max(";,\t", key=lambda s: (head.count(s), s == ";"))
+        names = next(csv.reader([head], delimiter=sep), [])
+        if names:
+            kinds.setdefault((r.encoding, sep, tuple(names)), []).append(unquote(r.file))
+    out = spark.createDataFrame([], "file string, place long, cells map<string,string>, odd string")
+    for (encoding, sep, names), paths in kinds.items():
+        _allow(spark, encoding)
+        inner = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField("odd", T.StringType())])
+        raw = spark.read.schema(inner).csv(paths, sep=sep, encoding=encoding, header=True, enforceSchema=True, multiLine=quoted_lines, quote='"', escape='"', emptyValue="", columnNameOfCorruptRecord="odd")
+        pairs = {n: f"c{i}" for i, n in enumerate(names)}  # of a repeated name the last
+        cells = F.create_map(*(x for n, col in pairs.items() for x in (F.lit(n), F.col(col))))
+        out = out.unionByName(raw.select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"), "odd"))
+    return out
 
-    def parse(batches):
-        import csv
-        import io
 
-        import pyarrow as pa
+#: Nested layout of open place data.
+PLACE = "id string, names struct<primary:string,common:map<string,string>>, kind string, confidence double, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, sources array<struct<dataset:string,license:string,record:string>>"
 
-        for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    text = raw.decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = raw.decode("cp1252", errors="replace")
-                head = text.partition("\n")[0]
-                sep = max(";,\t", key=lambda s: (head.count(s), s == ";"))
-                rows = [[*r.items()] for r in csv.DictReader(io.StringIO(text, newline=""), delimiter=sep, restkey="_more", restval=None)]
-                rows = [[(k, v if isinstance(v, str) or v is None else sep.join(v)) for k, v in r] for r in rows]
-                for i in range(0, len(rows), 4096):
-                    part = rows[i : i + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i + 1, i + 1 + len(part)), pa.int32()), pa.array(part, pa.map_(pa.string(), pa.string()))], names=["file", "line", "cells"])
 
-    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
-    return raw.mapInArrow(parse, "file string, line int, cells map<string,string>")
+def read_places(spark: SparkSession, path: str, kinds: list[str], least: float = 0.7, licence: str = "CDLA") -> DataFrame:
+    """(id, name, kind, lat, lon, confidence) of places of the given kinds that are sure enough and all of whose sources
+    have the licence; no sources, or none known, is not enough. Of the nested columns only the used leaves are read."""
+    rows = spark.read.schema(PLACE).parquet(path)
+    free = F.forall(F.col("sources.license"), lambda x: F.coalesce(x.startswith(licence), F.lit(False)))
+    rows = rows.where(F.col("kind").isin(*kinds) & (F.col("confidence") >= least) & (F.size("sources") > 0) & free)
+    return rows.select("id", F.col("names.primary").alias("name"), "kind", F.col("bbox.ymin").alias("lat"), F.col("bbox.xmin").alias("lon"), "confidence")
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:

@@ -92,6 +92,17 @@ def in_order(df: DataFrame, session: str, at: str, tie: str, place: str = "place
     return df.withColumn(place, F.row_number().over(Window.partitionBy(session).orderBy(at, tie)))
 
 
+def by_session(events: DataFrame, session: str, at: str) -> DataFrame:
+    """(session, starts, ends, n) by the id that events carry, however long the pauses between them; no id, no session."""
+    return events.where(F.col(session).isNotNull()).groupBy(session).agg(F.min(at).alias("starts"), F.max(at).alias("ends"), F.count(F.lit(1)).alias("n"))
+
+
+def by_pause(events: DataFrame, who: str, at: str, pause: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """(who, starts, ends, n) of stretches without a longer pause, for logs whose events carry no session id."""
+    rows = events.where(F.col(who).isNotNull()).withWatermark(at, late).groupBy(F.session_window(at, pause).alias("_w"), who)
+    return rows.agg(F.min(at).alias("starts"), F.max(at).alias("ends"), F.count(F.lit(1)).alias("n")).select(who, "starts", "ends", "n")
+
+
 def expires(end: str = "end_date") -> Column:
     """When a published event may go: at the end of the day after its last one."""
     return (F.date_add(F.col(end).cast("date"), 2)).cast("timestamp")
