@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer QUERIES: name -> (function, SQL or None).
-MODULES: list[str] = ["lumbria.plans.usage", "lumbria.plans.places", "lumbria.plans.relational", "lumbria.plans.scalars", "lumbria.plans.trips", "lumbria.plans.more", "lumbria.plans.travel", "lumbria.plans.sources", "lumbria.plans.service", "lumbria.plans.rules", "lumbria.plans.fits", "lumbria.plans.networks", "lumbria.plans.prose", "lumbria.plans.versions", "lumbria.plans.nights", "lumbria.plans.timetables", "lumbria.plans.bands"]
+MODULES: list[str] = ["lumbria.plans.usage", "lumbria.plans.places", "lumbria.plans.relational", "lumbria.plans.scalars", "lumbria.plans.trips", "lumbria.plans.more", "lumbria.plans.travel", "lumbria.plans.sources", "lumbria.plans.service", "lumbria.plans.rules", "lumbria.plans.fits", "lumbria.plans.networks", "lumbria.plans.prose", "lumbria.plans.versions", "lumbria.plans.nights", "lumbria.plans.timetables", "lumbria.plans.bands", "lumbria.plans.feasts"]
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -86,29 +86,50 @@ def month_window(month: Column, today: Column) -> Column:
 _NTH = {"primer": 1, "primero": 1, "segundo": 2, "tercer": 3, "tercero": 3, "cuarto": 4, "quinto": 5, "ultimo": -1}
 
 
+_MONTH = "|".join(MONTHS)
+_AND_TO, _OF, _DAY = r"\s*(?:al?|y|-|–|hasta)\s*(?:el\s+)?", rf"\s+(?:de\s+|del\s+mes\s+de\s+)?({_MONTH})\b", r"(\d{1,2})"
+#: How prose names dates, the most exact first.
+PROSE = {
+    "list": rf"\b{_DAY}(?:\s*,\s*\d{{1,2}})+\s*(?:,|y)\s*{_DAY}{_OF}",
+    "same_month": rf"\b{_DAY}{_OF}\s+(?:al|hasta\s+el)\s+{_DAY}\s+del\s+mismo\s+mes\b",
+    "range_months": rf"\b{_DAY}{_OF}{_AND_TO}{_DAY}{_OF}",
+    "range": rf"\b{_DAY}{_AND_TO}{_DAY}{_OF}",
+    "weekday": rf"\b({'|'.join(sorted(_NTH, key=len, reverse=True))})\s+({'|'.join(WEEKDAYS)})(?:\s+de)?(?:l\s+mes\s+de)?\s+({_MONTH})\b",
+    "day": rf"\b{_DAY}{_OF}",
+    "part": rf"\b(primera|segunda|tercera|ultima)\s+(?:semana|quincena)\s+de\s+({_MONTH})\b",
+    "months": rf"\b({_MONTH})\s*(?:a|al|hasta|-|–)\s*(?:el\s+mes\s+de\s+)?({_MONTH})\b",
+    "month": rf"\b({_MONTH})\b",
+}
+
+
+def plain_prose(text: Column) -> Column:
+    """Folded text with one spelling of the first of a month and of September."""
+    t = F.regexp_replace(folded(F.coalesce(text, F.lit("")), False), "septiembre", "setiembre")
+    return F.regexp_replace(F.regexp_replace(t, r"\b1(?:ro|ero|er|°|º)\b", "1"), r"\bprimero(?=\s+de\s)", "1")
+
+
 def prose_rule(text: Column) -> Column:
     """Struct (rule, kind) of the date that a text about a feast names, as rule_dates() reads it; nulls without one.
 
-    Of what it says the most exact counts: a range of days, over two months or in one, an ordinal weekday, a day, a week
-    or part of a month, months from and to, a month. Of equals the first.
+    Of what it says the most exact counts: a list or range of days, over two months or in one, an ordinal weekday, a day,
+    a week or part of a month, months from and to, a month. Of equals the first. operators.feasts weighs all that a text
+    names by what stands around it.
     """
-    t = F.regexp_replace(folded(F.coalesce(text, F.lit("")), False), "septiembre", "setiembre")
-    t = F.regexp_replace(t, r"\b1(?:ro|ero|er|°|º)\b", "1")
-    month = "|".join(MONTHS)
+    t = plain_prose(text)
     number = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("string"), 2, "0")
     two = lambda d: F.lpad(d, 2, "0")
     got = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
-    day, and_to, of = r"(\d{1,2})", r"\s*(?:al?|y|-|–|hasta)\s*(?:el\s+)?", rf"\s+(?:de\s+|del\s+mes\s+de\s+)?({month})\b"
-    across, within, single = rf"\b{day}{of}{and_to}{day}{of}", rf"\b{day}{and_to}{day}{of}", rf"\b{day}{of}"
-    nth = rf"\b({'|'.join(sorted(_NTH, key=len, reverse=True))})\s+({'|'.join(WEEKDAYS)})(?:\s+de)?(?:l\s+mes\s+de)?\s+({month})\b"
-    part = rf"\b(primera|segunda|tercera|ultima)\s+(?:semana|quincena)\s+de\s+({month})\b"
-    months, one = rf"\b({month})\s*(?:a|al|hasta|-|–)\s*(?:el\s+mes\s+de\s+)?({month})\b", rf"\b({month})\b"
+    listed, same, across, within, nth, single, part, months, one = PROSE.values()
     ordinal = F.coalesce(*(F.when(got(nth, 1) == k, F.lit(str(v))) for k, v in _NTH.items()))
     weekday = F.element_at(F.array(*map(F.lit, DAYS)), F.array_position(F.array(*map(F.lit, WEEKDAYS)), got(nth, 2)).cast("int"))
     week = F.when(t.rlike(r"quincena"), F.when(got(part, 1) == "primera", "01,15").otherwise("16,31")).otherwise(F.element_at(F.create_map(*(F.lit(x) for x in ("primera", "01,07", "segunda", "08,14", "tercera", "15,21", "ultima", "25,31"))), got(part, 1)))
     begin, end = F.split(week, ",")[0], F.split(week, ",")[1]
     valid = lambda *ds: [d.cast("int").between(1, 31) for d in ds]
+    days = F.transform(F.regexp_extract_all(F.regexp_extract(t, listed, 0), F.lit(r"\d{1,2}"), 0), lambda x: x.cast("int"))
+    in_order = (F.array_sort(days) == days) & (F.try_element_at(days, F.lit(-1)) <= 31) & (F.get(days, F.lit(0)) >= 1) & (F.try_element_at(days, F.lit(-1)) - F.get(days, F.lit(0)) <= 15)
     rules = (
+        ("list", F.when((F.size(days) > 2) & in_order, F.concat(F.lit("fija "), number(got(listed, 3)), F.lit("-"), two(got(listed, 1)), F.lit(".."), number(got(listed, 3)), F.lit("-"), two(got(listed, 2))))),
+        ("same_month", F.when(valid(got(same, 1))[0] & valid(got(same, 3))[0], F.concat(F.lit("fija "), number(got(same, 2)), F.lit("-"), two(got(same, 1)), F.lit(".."), number(got(same, 2)), F.lit("-"), two(got(same, 3))))),
         ("range_months", F.when(valid(got(across, 1))[0] & valid(got(across, 3))[0], F.concat(F.lit("fija "), number(got(across, 2)), F.lit("-"), two(got(across, 1)), F.lit(".."), number(got(across, 4)), F.lit("-"), two(got(across, 3))))),
         ("range", F.when(valid(got(within, 1))[0] & valid(got(within, 2))[0], F.concat(F.lit("fija "), number(got(within, 3)), F.lit("-"), two(got(within, 1)), F.lit(".."), number(got(within, 3)), F.lit("-"), two(got(within, 2))))),
         ("weekday", F.concat(F.lit("nesimo "), number(got(nth, 3)), F.lit(" "), ordinal, F.lit(" "), weekday)),
