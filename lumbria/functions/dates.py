@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import MONTHS, WEEKDAYS, folded
+from .text import MONTHS, WEEKDAYS, folded, let
 
 # Weekday names of a rule, Monday first.
 DAYS = ("lun", "mar", "mie", "jue", "vie", "sab", "dom")
@@ -115,7 +115,11 @@ def prose_rule(text: Column) -> Column:
     a week or part of a month, months from and to, a month. Of equals the first. operators.feasts weighs all that a text
     names by what stands around it.
     """
-    t = plain_prose(text)
+    return let(plain_prose(text), _rule_of)
+
+
+def _rule_of(t: Column) -> Column:
+    """prose_rule() of plain prose."""
     number = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("string"), 2, "0")
     two = lambda d: F.lpad(d, 2, "0")
     got = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 DAY, NEVER = 24 * 60, 10**6
 
 
@@ -28,11 +30,6 @@ LUNCH = "struct<after:int,at:bigint,stop:bigint,inside:boolean>"
 VISITS = "array<struct<stop:bigint,arrives:bigint,leg:bigint,waits:bigint>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def pace_at(minute: Column, pace: Sequence[tuple[float, float]]) -> Column:
     """Factor of a way that begins at this minute: straight lines between measured minutes, round midnight as well."""
     if not pace:
