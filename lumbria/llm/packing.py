@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,17 @@ from .textcols import id_out, pick, small_batches, trimmed
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a worker keeps; the memory is emptied when it is full.
-MEMORY = 100_000
+#: What the quick way below stands in for: a file's normalizer, pre-tokenizer and kind of model.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_CUT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
-#: The pre-tokens of lower-case texts within Latin-1, as the vocabulary file's pattern has them.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
-_ODD = re.compile("[^\x00-\x1b\x20-\xff]|<\\|(?:start|end)oftext\\|>")
+#: The pre-tokens of lower-case texts within Latin-1, as that pattern has them.
+_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
+_ODD = re.compile("[^\x00-\x1b\x20-\xff]")
+#: Stands for the end of a word; texts that hold it are odd.
+_END = "\x1c"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,10 +43,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Token ids by a vocabulary file of the tokenizers library, with a memory of pre-tokens.
+    """Token ids by a vocabulary file of the tokenizers library.
 
     Texts within Latin-1 without the special tokens' strings are cut into pre-tokens here: lower-casing and the
-    pattern mean the same there, and such texts are in normal form C. All other texts go to the library whole.
+    pattern mean the same there, and such texts are in normal form C. Their pre-tokens, each with a byte for its end,
+    are merged by tiktoken, where _ranks() tells that this gives the same. All else goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,22 +55,46 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
-        self.model, self.letters = self.all.model, _byte_letters()
-        self.known: dict[str, bytes] = {}
+        spec = json.loads(self.all.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = self._ranks(spec)
+        self.quick = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def _ranks(self, spec: dict) -> dict[bytes, int] | None:
+        """The bytes of each id, if merging neighbours by the id of what they give is what the library does.
+
+        It is where merges are in the order of their ids, and each entry, taken as a text, is merged into itself:
+        an entry's bytes are then never split into two tokens other than the two of its merge.
+        """
+        from tokenizers.models import BPE
+
+        model, end = spec["model"], _MODEL["end_of_word_suffix"]
+        kind = {k: v for k, v in model.items() if k not in ("vocab", "merges")}
+        if (spec["normalizer"], spec["pre_tokenizer"], kind) != (_NORMALIZER, _PRE_TOKENIZER, _MODEL) or any(t["normalized"] for t in spec["added_tokens"]):
+            return None
+        vocab, letters = model["vocab"], _byte_letters().values()
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        joined = [vocab["".join(m)] for m in merges]
+        first = {vocab.get(c + e, -1) for c in letters for e in ("", end)}
+        if joined != sorted(set(joined)) or first != set(vocab.values()) - set(joined) or len(first) != 512 or max(first) > min(joined):
+            return None
+        bare = BPE(vocab=vocab, merges=merges)
+        for t in vocab:
+            if len(self.all.model.tokenize(t.removesuffix(end)) if t.endswith(end) else bare.tokenize(t)) != 1:
+                return None
+        byte = {c: bytes([b]) for b, c in _byte_letters().items()}
+        return {b"".join(map(byte.__getitem__, t.removesuffix(end))) + _END.encode() * t.endswith(end): i for t, i in vocab.items()}
 
     def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if self.quick is None or _ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.all.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts, known = _PARTS.findall(text.lower()), self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            for p in {p for p in parts if p not in known}:
-                s = p if p.isascii() and p.isprintable() else "".join(self.letters[c] for c in p.encode())
-                known[p] = np.array([t.id for t in self.model.tokenize(s)], np.uint32).tobytes()
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+        return np.array(self.quick.encode_ordinary(_END.join([*_PARTS.findall(text.lower()), ""])), np.uint32)
+
+
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker."""
+    return WordTokenizer(path)
 
 
 def default_vocabulary() -> str:
@@ -72,7 +105,7 @@ def default_vocabulary() -> str:
 
 def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path or default_vocabulary())
+        tok = tokenizer(path or default_vocabulary())
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

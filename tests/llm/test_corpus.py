@@ -272,6 +272,56 @@ def test_packing(spark, capacity):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_word_ids_are_the_librarys_and_quick():
+    """Ids of every entry and of random Latin-1 texts against the library; words never seen take less of its time."""
+    import random
+    import time
+
+    tok = packing.tokenizer(packing.default_vocabulary())
+    assert tok is packing.tokenizer(packing.default_vocabulary()) and tok.quick
+
+    def library(text):
+        return tok.all.encode(text, add_special_tokens=False).ids
+
+    entries = " ".join(t.replace("</w>", " ") for t in tok.all.get_vocab() if "|" not in t)
+    r, letters = random.Random(8), [*map(chr, range(256)), *"''''   aeinst", "'ll", "</w>", "<|endoftext|>", "é", "́"]
+    mixed = ["".join(r.choices(letters, k=k % 300)) for k in range(3000)]
+    single = ["a" * 5000, "-=" * 3000, "".join(r.choices("etaoinshrdlé", k=20_000))]
+    for text in [entries, *mixed, *single]:
+        assert tok.ids(text).tolist() == library(text)
+    new = [" ".join("".join(r.choices("etaoinshrdlucmé", k=9)) for _ in range(500)) for _ in range(60)]
+    times = []
+    for f in (tok.ids, library):
+        at = time.process_time()
+        for text in new:
+            f(text)
+        times.append(time.process_time() - at)
+    assert times[0] < 0.6 * times[1]
+
+
+def test_other_vocabularies_go_to_the_library(tmp_path):
+    """A file of another pattern, one whose merges are not in the order of their ids, one with an entry never merged."""
+    import json
+
+    with open(packing.default_vocabulary()) as f:
+        whole = f.read()
+    for k in range(3):
+        spec = json.loads(whole)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        if k == 2:
+            splits = ((i, [t[:n], t[n:]]) for i, (a, b) in enumerate(merges) for t in [a + b] for n in range(1, len(t)) if n != len(a) and t[:n] in vocab and t[n:] in vocab)
+            at, other = next(splits)
+            merges[at] = other
+        elif k:
+            merges[:2] = merges[1::-1]
+        else:
+            spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec))
+        tok = packing.WordTokenizer(str(tmp_path / f"{k}.json"))
+        text = "it's 2024b, the thin inthan"
+        assert tok.quick is None and tok.ids(text).tolist() == tok.all.encode(text, add_special_tokens=False).ids
+
+
 def test_fill_is_as_close_as_can_be():
     """The first window of random multisets against all their subsets."""
     import itertools
