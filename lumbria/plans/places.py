@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import joins as j
-from ..operators.components import connected_components
+from ..operators import density as de, entities as en, joins as j
 
 _LAT, _LON = "-18 + (({k} * 7919) % 16000) / 1000.0D", "-81 + (({k} * 104729) % 12000) / 1000.0D"
 
@@ -40,22 +39,15 @@ _WORDS = "list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')"
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
-    p = suppliers(s, d).withColumnRenamed("s_id", "id").select("id", "lat", "lon")
-    pairs = j.radius_join(p, p.withColumnRenamed("id", "r_id"), 120).where("id < r_id").select(F.col("id").alias("src"), F.col("r_id").alias("dst"))
-    lone = p.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    return connected_components(pairs.unionByName(lone))
+    return de.radius_components(suppliers(s, d).withColumnRenamed("s_id", "id").select("id", "lat", "lon"), 120)
 
 
 def _entities(s: SparkSession, d: str) -> DataFrame:
     """Two sources of places: equal words within 60 km, or half of the words shared within 25 km; best partner each."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
     a = customers(s, d).select("id", "lat", "lon", words(F.concat_ws(" ", "c_mktsegment", F.lit("place"), (F.col("id") % 7).cast("string"))).alias("w"))
-    b = suppliers(s, d).select("s_id", "lat", "lon", words(F.concat_ws(" ", F.lit("machinery"), F.lit("place"), (F.col("s_id") % 7).cast("string"))).alias("rw"))
-    p = j.radius_join(a, b, 60)
-    jac = F.size(F.array_intersect("w", "rw")) / F.size(F.array_union("w", "rw"))
-    ok = (jac == 1) | ((jac >= 0.5) & (F.col("km") <= 25))
-    best = p.withColumn("jac", jac).where(ok).groupBy("id").agg(F.min(F.struct((-F.col("jac")).alias("m"), F.col("km"), F.col("s_id"))).alias("b"))
-    return best.select("id", "b.s_id", (-F.col("b.m")).alias("jaccard"))
+    b = suppliers(s, d).select("s_id", "lat", "lon", words(F.concat_ws(" ", F.lit("machinery"), F.lit("place"), (F.col("s_id") % 7).cast("string"))).alias("w"))
+    return en.entities(a, b, "w", 60, 0.5, 25)
 
 
 _OWN = lambda c, key: f"(SELECT list_distinct(string_split(lower({c}), ' ')))"
